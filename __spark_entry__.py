@@ -71,7 +71,7 @@ def q_global_quantiles(spark, d):
     found = feat.global_quantiles(stages(spark, d).master())
     # The master decides the row, so that an empty panel gives an empty result.
     one = stages(spark, d).master().agg(F.count(F.lit(1)).alias("panel_rows"))
-    return one.select("panel_rows", *[F.round(F.lit(v).cast("double"), 4).alias(n) for n, v in found.items()])
+    return one.select("panel_rows", *[F.round(F.lit(v).cast("double"), 8).alias(n) for n, v in found.items()])
 
 
 def _features(columns: list[str], noisy: tuple[str, ...] = ()):

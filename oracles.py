@@ -250,7 +250,8 @@ def _share(c: str) -> str:
 
 
 def _dec(c: str, p: int, s: int, name: str | None = None) -> str:
-    return f"CAST({c} AS DECIMAL({p},{s})) AS {name or c}"
+    # Seven places first: floating-point noise must not decide a half.
+    return f"CAST(CAST({c} AS DECIMAL(28,7)) AS DECIMAL({p},{s})) AS {name or c}"
 
 
 PROFILE_COLUMNS = [
@@ -482,7 +483,7 @@ FINAL: dict[str, str] = {
         round(sum(total_topup_amount), 4) AS total_topup, round(sum(total_advance_amount), 4) AS total_advance
         FROM master GROUP BY data_month""",
     "type_distribution": "SELECT subscriber_type, count(*) AS count FROM master GROUP BY subscriber_type",
-    "global_quantiles": "SELECT (SELECT count(*) FROM master) AS panel_rows, " + ", ".join(f"round({c}, 4) AS {c}" for c in (
+    "global_quantiles": "SELECT (SELECT count(*) FROM master) AS panel_rows, " + ", ".join(f"round({c}, 8) AS {c}" for c in (
         "topup_count_q75", "total_topup_amount_q75", "avg_topup_amount_q75", "total_package_value_q75",
         "total_package_value_q90")) + " FROM q",
     "features_advance": _feature_query(_FEATURE_TABLE[30:38]),

@@ -56,6 +56,12 @@ def as_text(c: Column | str) -> Column:
     return _c(c).cast("string")
 
 
+def number_text(c: Column | str, digits: int) -> Column:
+    """Rounded number as plain text with at least one decimal place and no exponent."""
+    fixed = _c(c).cast(f"decimal(30,{digits})").cast("string")
+    return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+
+
 # --- conditionals ---------------------------------------------------------------------------
 
 def is_true(cond: Column) -> Column:

@@ -1,38 +1,46 @@
 """Ranks inside groups that may be as large as the table.
 
 There are three services, so a plain window over the service would sort a third of all rows in one
-task. Here each service is cut into slices by score and id; rows are ranked inside their slice and
-shifted by the number of rows in the slices before it.
+task. Here the rows are cut into slices by score and id; each is ranked inside its slice and shifted
+by the number of rows of its group in the slices before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def id_cuts(df: DataFrame, id_column: str, slices: int, sample: int = 2048):
-    """Ordered cut points of the ids, from the rows with the smallest id hashes.
+def _position(score: str, id_column: str) -> Column:
+    return F.struct(F.col(score).alias("score"), F.col(id_column).alias("id"))
 
-    A fixed-size, repeatable sample. It only steers balance: any cut points give the same ranks.
+
+def slice_cuts(df: DataFrame, score: str, id_column: str, slices: int, sample: int = 4096) -> Column:
+    """Ordered cut points of (score, id), from the rows with the smallest id hashes, as a scalar.
+
+    The sample has a fixed size and is repeatable. It only steers balance: any cut points give the
+    same ranks.
+    """
+    picked = df.select(_position(score, id_column).alias("p")).orderBy(F.xxhash64("p.id"), "p").limit(sample)
+    ordered = picked.agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    step = F.greatest(F.floor(F.size("ps") / slices), F.lit(1)).cast("int")
+    return ordered.select(F.filter("ps", lambda x, i: (i % step == 0) & (i > 0)).alias("cuts")).scalar()
+
+
+def rank_descending(df: DataFrame, group: str, score: str, id_column: str, slices: int = 128) -> DataFrame:
+    """0-based rank inside the group by score, then id, both descending; exact at any group size.
+
+    A slice holds about 1/`slices` of all rows, ties included, because the id is part of the cut.
+    The score must not be null.
     """
-    picked = df.select(id_column).orderBy(F.xxhash64(id_column), id_column).limit(sample)
-    ordered = picked.agg(F.sort_array(F.collect_list(id_column)).alias("ids"))
-    step = F.greatest(F.floor(F.size("ids") / slices), F.lit(1)).cast("int")
-    return ordered.select(F.filter(F.col("ids"), lambda x, i: (i % step == 0) & (i > 0)).alias("cuts")).scalar()
-
-
-def rank_descending(df: DataFrame, group: str, score: str, id_column: str, slices: int = 32) -> DataFrame:
-    """0-based rank inside the group by score, then id, both descending; exact at any group size."""
-    rows = (df.withColumn("_cuts", id_cuts(df, id_column, slices))
-            .withColumn("_slice", F.size(F.filter("_cuts", lambda x: x <= F.col(id_column)))).drop("_cuts"))
-    cell = [group, score, "_slice"]
-    # One row per group, distinct score and slice, however many rows there are.
+    rows = (df.withColumn("_cuts", slice_cuts(df, score, id_column, slices))
+            .withColumn("_slice", F.size(F.filter("_cuts", lambda x: x <= _position(score, id_column)))).drop("_cuts"))
+    cell = [group, "_slice"]
+    # At most `slices` + 1 rows per group, however many rows the group has.
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(F.desc(score), F.desc("_slice")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc(id_column))) - 1
+    local = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc(score), F.desc(id_column))) - 1
     return (rows.withColumn("_local", local).join(offsets, cell)
             .withColumn("rank", F.col("_offset") + F.col("_local"))
             .drop("_slice", "_local", "_offset"))

@@ -44,13 +44,13 @@ def never_advanced(df: DataFrame, features: DataFrame) -> DataFrame:
     return df.join(advance_users(features), "isdn", "left_anti")
 
 
-def clean_matrix(df: DataFrame, columns: Sequence[str], infinite: float = 999.0) -> DataFrame:
-    """Missing values become 0, infinite ones a large constant."""
+def clean_matrix(df: DataFrame, columns: Sequence[str], infinite: float = 999.0, prefix: str = "") -> DataFrame:
+    """Missing values become 0, infinite ones a large constant. A prefix keeps the original columns."""
     def clean(name: str) -> Column:
         x = F.col(name).cast("double")
         x = F.when(F.isnan(x), None).otherwise(x)
         return F.when(F.abs(x) == float("inf"), F.lit(infinite)).otherwise(F.coalesce(x, F.lit(0.0)))
-    return df.withColumns({n: clean(n) for n in columns})
+    return df.withColumns({f"{prefix}{n}": clean(n) for n in columns})
 
 
 def cluster_matrix(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATURES)) -> DataFrame:
@@ -80,6 +80,10 @@ def assign_clusters(df: DataFrame, centroids: Sequence[Mapping[str, float]]) ->
     return df.withColumn("cluster", F.array_min(options)["cluster"])
 
 
+# Prefix of the cleaned copies a model reads.
+_CLEAN = "_x_"
+
+
 @dataclass
 class SegmentModel:
     pipeline: PipelineModel
@@ -88,9 +92,9 @@ class SegmentModel:
     costs: list[float]
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Cleaned rows with their cluster number."""
-        return (self.pipeline.transform(clean_matrix(df, self.columns))
-                .drop("_raw", "_scaled").withColumnRenamed("prediction", "cluster"))
+        """All columns of the rows and their cluster number."""
+        return (self.pipeline.transform(clean_matrix(df, self.columns, prefix=_CLEAN))
+                .drop("_raw", "_scaled", *[_CLEAN + c for c in self.columns]).withColumnRenamed("prediction", "cluster"))
 
     def centers(self, spark: SparkSession) -> DataFrame:
         """Centres on the standardised scale, one row per cluster and feature."""
@@ -100,7 +104,7 @@ class SegmentModel:
 
 
 def fit_segments(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATURES),
-                 params: ClusterParams = ClusterParams(), parallelism: int = 4) -> SegmentModel:
+                 params: ClusterParams = ClusterParams(), parallelism: int = 8) -> SegmentModel:
     """K-Means with several starts, the cheapest kept. Each start is a distributed fit.
 
     The starts run on the same persisted vectors, a few at a time; only costs and centres return
@@ -109,9 +113,9 @@ def fit_segments(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATURES)
     params.validate()
     columns = list(columns)
     prepare = Pipeline(stages=[
-        VectorAssembler(inputCols=columns, outputCol="_raw"),
+        VectorAssembler(inputCols=[_CLEAN + c for c in columns], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)])
-    matrix = cluster_matrix(df, columns)
+    matrix = clean_matrix(df.select(*columns), columns, prefix=_CLEAN)
     prepared = prepare.fit(matrix)
     vectors = prepared.transform(matrix).select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -29,13 +29,19 @@ def _today(day: date | str | None) -> Column:
 # --- typed tables ---------------------------------------------------------------------------
 
 def to_serving_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast to the declared fields; NaN and unreadable values become null, absent columns are null."""
+    """Cast to the declared fields; NaN and unreadable values become null, absent columns are null.
+
+    A floating-point value is settled at seven places before it is rounded to a DECIMAL field, so
+    that its last bits do not decide a half.
+    """
     def field(f: T.StructField) -> Column:
         if f.name not in df.columns:
             return F.lit(None).cast(f.dataType).alias(f.name)
         c = F.col(f.name)
         if isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType)):
             c = nan_to_null(c)
+            if isinstance(f.dataType, T.DecimalType):
+                c = c.try_cast("decimal(28,7)")
         return c.try_cast(f.dataType).alias(f.name)
     return df.select(*[field(f) for f in schema.fields])
 

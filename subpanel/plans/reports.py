@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subpanel.functions.columns import exact_avg, exact_sum, half_even, n_rows, pct, right_closed_bin
+from subpanel.functions.columns import exact_avg, exact_sum, half_even, n_rows, number_text, pct, right_closed_bin
 from subpanel.functions.quantiles import exact_quantiles
 from subpanel.operators.master import dedup_months, snapshot
 from subpanel.operators.risk import keep_risk
@@ -222,8 +222,8 @@ def serving_metadata(recs: DataFrame, now: datetime | str | None = None) -> Data
     row = recs.agg(n_rows().alias("total_subscribers"), service("Fee").alias("total_fee"), service("Free").alias("total_free"),
                    service("Quota").alias("total_quota"), level("LOW").alias("total_low_risk"),
                    level("MEDIUM").alias("total_medium_risk"),
-                   half_even(exact_avg("advance_amount"), 2).alias("avg_advance_amount"),
-                   half_even(exact_sum("revenue_per_advance"), 2).alias("total_revenue_potential"))
+                   number_text(half_even(exact_avg("advance_amount"), 2), 2).alias("avg_advance_amount"),
+                   number_text(half_even(exact_sum("revenue_per_advance"), 2), 2).alias("total_revenue_potential"))
     row = row.withColumns({"last_updated": at, "data_version": F.lit("v1.0")})
     return row.select(F.explode(F.create_map(*[x for c in row.columns for x in (
         F.lit(c), F.col(c).cast("string"))])).alias("field", "value"))

@@ -41,18 +41,16 @@ class Stages:
         self.centroids, self.target_mode = centroids, targets
         self.offer_params, self.risk_params, self.cluster_params = offer_params, risk_params, cluster_params
         self.day, self.now = day, now
-        self._done: set[str] = set()
+        self._done: dict[str, DataFrame] = {}
 
     def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
-        location = f"{self.path}/{name}"
         if name not in self._done:
-            tables.write_table(build(), location, partition_by)
-            self._done.add(name)
-        df = tables.read_table(self.spark, location)
-        if "data_month" in partition_by:
-            # Partition values come back as numbers.
-            df = df.withColumn("data_month", df["data_month"].cast("string"))
-        return df
+            location, df = f"{self.path}/{name}", build()
+            tables.write_table(df, location, partition_by)
+            # The schema is known, so reading back infers neither it nor the type of partition values.
+            df = tables.read_table(self.spark, location, schema=df.schema)
+            self._done[name] = df
+        return self._done[name]
 
     def master(self) -> DataFrame:
         return self.stored("master", lambda: mst.master_of(dict(self.extracts())), ["data_month"])
@@ -64,22 +62,24 @@ class Stages:
         return segment.advance_users(self.features())
 
     def snapshot(self) -> DataFrame:
-        """Latest month, one row per subscriber, with the advance flag."""
-        return segment.flag_membership(mst.latest_subscribers(self.features(), self.month), self.advance_users(),
-                                       "is_advance_user")
+        """Latest month, one row per subscriber, with the advance flag. Read by fit, assignment and reports."""
+        return self.stored("snapshot", lambda: segment.flag_membership(
+            mst.latest_subscribers(self.features(), self.month), self.advance_users(), "is_advance_user"))
 
-    def clustered(self, snapshot: DataFrame) -> DataFrame:
+    def clustered(self) -> DataFrame:
+        snapshot = self.snapshot()
         if self.centroids is None:
             self.model = segment.fit_segments(snapshot, params=self.cluster_params)
             return self.model.assign(snapshot)
-        columns = list(self.centroids[0])
-        scaled = segment.standardize(segment.clean_matrix(snapshot.select("isdn", *columns), columns), columns)
-        return snapshot.join(segment.assign_clusters(scaled, self.centroids).select("isdn", "cluster"), "isdn")
+        columns, prefix = list(self.centroids[0]), "_z_"
+        names = [f"{prefix}{n}" for n in columns]
+        scaled = segment.standardize(segment.clean_matrix(snapshot, columns, prefix=prefix), names)
+        centres = [{f"{prefix}{n}": v for n, v in c.items()} for c in self.centroids]
+        return segment.assign_clusters(scaled, centres).drop(*names)
 
     def segments(self) -> DataFrame:
         """Snapshot with cluster and segment."""
-        clusters = self.stored("clusters", lambda: self.clustered(self.snapshot()))
-        return self.stored("segments", lambda: segment.label_segments(clusters))
+        return self.stored("segments", lambda: segment.label_segments(self.clustered()))
 
     def target_ids(self) -> DataFrame:
         if self.target_mode == "segments":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,16 @@ def with_data_month(df: DataFrame, source: str | None = None) -> DataFrame:
     return df.select("*", month_from_name(name).alias("data_month"))
 
 
+def _header(spark: SparkSession, path: str, on_error: str) -> tuple[str, ...]:
+    try:
+        return tuple(spark.read.option("header", True).csv(path).columns)
+    except PySparkException as e:
+        if on_error == "fail":
+            raise
+        warnings.warn(f"skipped {path}: {e.getCondition() or e}", stacklevel=2)
+        return ()
+
+
 def read_source(spark: SparkSession, root: str, source: str, months: Sequence[str] | None = tuple(MONTHS),
                 files: Sequence[str] | None = None, on_error: str = "skip") -> DataFrame:
     """All rows of one source as text columns plus `data_month`.
@@ -78,15 +89,10 @@ def read_source(spark: SparkSession, root: str, source: str, months: Sequence[st
     """
     paths = list(files) if files else _entries(spark, root, source, months)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        # One file or folder per month: this reads a first line each, not the data.
-        try:
-            header = tuple(spark.read.option("header", True).csv(path).columns)
-        except PySparkException as e:
-            if on_error == "fail":
-                raise
-            warnings.warn(f"skipped {path}: {e.getCondition() or e}", stacklevel=2)
-            continue
+    # One file or folder per month: a few small reads of a first line each, side by side.
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(lambda p: _header(spark, p, on_error), paths))
+    for path, header in zip(paths, headers):
         if header:
             by_header.setdefault(header, []).append(path)
     skip = str(on_error == "skip").lower()
@@ -105,12 +111,12 @@ def read_source(spark: SparkSession, root: str, source: str, months: Sequence[st
 def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None = tuple(MONTHS),
                   files: dict[str, Sequence[str]] | None = None, on_error: str = "skip") -> dict[str, DataFrame]:
     """The six extracts; a source without files is left out, so that its columns stay absent."""
-    chosen = files or {}
     out = {}
     for source in SOURCE_COLUMNS:
-        df = read_source(spark, root, source, months, chosen.get(source), on_error)
-        if source == "N10" or chosen.get(source) or _entries(spark, root, source, months):
-            out[source] = df
+        paths = (files or {}).get(source)
+        found = paths or _entries(spark, root, source, months)
+        if found or source == "N10":
+            out[source] = read_source(spark, root, source, months, paths, on_error)
     return out
 
 

@@ -5,6 +5,8 @@ Six calendar years stand for the six months of the panel.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from subpanel.schemas import MONTHS
 FIRST_YEAR, LAST_YEAR = 1996, 2001
 
 
+@lru_cache(maxsize=256)
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One DataFrame per table, so that its files are listed and their schema read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,17 +59,23 @@ def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARPU rows, one per order of a subscriber in a month, so several per key."""
-    v = (F.col("l_quantity") * F.col("l_discount") * 1000
-         * F.when(F.col("o_custkey") % 7 == 0, 12).otherwise(1)).cast(MONEY)
-    part = lambda letter: F.sum(F.when(F.col("l_returnflag") == letter, v).otherwise(F.lit(0).cast(MONEY)))
-    return (_lines(spark, sf_dir, "l_quantity", "l_discount", "l_returnflag")
+    """ARPU rows, one per order of a subscriber in a month, so several per key.
+
+    Lines are summed per order before the joins; the factor of the subscriber is applied after.
+    """
+    v = (F.col("l_quantity") * F.col("l_discount") * 1000).cast("decimal(8,2)")
+    zero = F.lit(0).cast("decimal(8,2)")
+    part = lambda letter: F.sum(F.when(F.col("l_returnflag") == letter, F.col("v")).otherwise(zero))
+    factor = F.when(F.col("o_custkey") % 7 == 0, 12).otherwise(1)
+    sums = ["arpu_call", "arpu_sms", "arpu_data", "arpu_total"]
+    return (_lines(spark, sf_dir, "l_returnflag", "l_quantity", "l_discount")
+            .select("l_orderkey", "data_month", "l_returnflag", v.alias("v"))
+            .groupBy("l_orderkey", "data_month")
+            .agg(part("A").alias("arpu_call"), part("R").alias("arpu_sms"),
+                 part("N").alias("arpu_data"), F.sum("v").alias("arpu_total"))
             .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy("isdn", "data_month", "l_orderkey")
-            .agg(part("A").alias("arpu_call"), part("R").alias("arpu_sms"),
-                 part("N").alias("arpu_data"), F.sum(v).alias("arpu_total"))
-            .drop("l_orderkey"))
+            .select("isdn", "data_month", *[(F.col(c) * factor).cast(MONEY).alias(c) for c in sums]))
 
 
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
