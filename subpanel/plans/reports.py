@@ -115,6 +115,11 @@ def advance_source_counts(n4: DataFrame) -> DataFrame:
 
 # --- stage summaries ------------------------------------------------------------------------
 
+def _nested(df: DataFrame) -> Column:
+    """A grouped table as one array; it has a row per group, so it stays small."""
+    return df.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
+
+
 def phase1_summary(master: DataFrame) -> DataFrame:
     """One row. Counts of distinct subscribers come from one row per subscriber, so no wide
     distinct set is built."""
@@ -140,6 +145,13 @@ def monthly_stats(master: DataFrame) -> DataFrame:
         exact_sum("total_advance_amount").alias("total_advance"))
 
 
+def phase1_document(master: DataFrame) -> DataFrame:
+    """Totals with the type and month tables nested."""
+    return phase1_summary(master).withColumns({
+        "subscriber_type_distribution": _nested(type_distribution(master)),
+        "monthly_stats": _nested(monthly_stats(master))})
+
+
 def type_distribution(master: DataFrame) -> DataFrame:
     return (dedup_months(master).filter(F.col("subscriber_type").isNotNull())
             .groupBy("subscriber_type").agg(n_rows().alias("count")))
@@ -170,6 +182,11 @@ def metric_distribution(features: DataFrame,
             .groupBy("p.metric", "p.value").agg(n_rows().alias("count")))
 
 
+def phase2_document(features: DataFrame) -> DataFrame:
+    """Feature counts with the value counts of the metrics nested."""
+    return phase2_summary(features).withColumn("key_metrics_distribution", _nested(metric_distribution(features)))
+
+
 def phase3a_summary(segments: DataFrame) -> DataFrame:
     return segments.agg(n_rows().alias("total_subscribers"), F.countDistinct("cluster").alias("num_clusters"),
                         F.count_if(F.contains("segment", F.lit("GROUP_2"))).alias("expansion_target"))
@@ -177,9 +194,8 @@ def phase3a_summary(segments: DataFrame) -> DataFrame:
 
 def phase3a_document(segments: DataFrame) -> DataFrame:
     """Totals with the segment and cluster tables nested, as one row for the JSON sink."""
-    nest = lambda df: df.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
     return phase3a_summary(segments).withColumns({
-        "segment_distribution": nest(segment_stats(segments)), "cluster_statistics": nest(cluster_stats(segments))})
+        "segment_distribution": _nested(segment_stats(segments)), "cluster_statistics": _nested(cluster_stats(segments))})
 
 
 def offer_totals(recs: DataFrame, count_name: str = "total_recommendations") -> DataFrame:
@@ -194,10 +210,6 @@ def offers_by_service(recs: DataFrame) -> DataFrame:
         exact_sum("revenue_per_advance").alias("total_revenue"))
 
 
-def _nested(df: DataFrame) -> Column:
-    return df.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
-
-
 def phase3b_summary(recs: DataFrame) -> DataFrame:
     """Totals with the service table and the five-bin histogram nested."""
     return offer_totals(recs).withColumns({

@@ -15,6 +15,7 @@ from subpanel.operators import features as feat
 from subpanel.operators import master as mst
 from subpanel.operators import offers, profile, risk, segment, serving
 from subpanel.operators.params import ClusterParams, OfferParams, RiskParams
+from subpanel.plans import reports
 from subpanel.plans.catalogue import Store
 from subpanel.schemas import LATEST_MONTH
 from subpanel.sources import tables
@@ -41,6 +42,7 @@ class Stages:
         self.centroids, self.target_mode = centroids, targets
         self.offer_params, self.risk_params, self.cluster_params = offer_params, risk_params, cluster_params
         self.day, self.now = day, now
+        self.model: segment.SegmentModel | None = None
         self._done: dict[str, DataFrame] = {}
 
     def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -109,6 +111,47 @@ class Stages:
             self.stored("serving_profiles", lambda: serving.serving_profiles(self.profiles(), self.day, self.now)),
             self.stored("serving_monthly", lambda: serving.serving_monthly(self.monthly(), self.now)))
 
+    def summaries(self) -> dict[str, DataFrame]:
+        """One JSON document per phase."""
+        return {
+            "phase1_summary": reports.phase1_document(self.master()),
+            "phase2_summary": reports.phase2_document(self.features()),
+            "phase3a_summary": reports.phase3a_document(self.segments()),
+            "phase3b_summary": reports.phase3b_summary(self.scored()),
+            "phase4_summary": reports.phase4_summary(self.final())}
+
+    def export(self, path: str) -> None:
+        """The files other systems read: target lists, offers whole and by service, and summaries."""
+        segments, scored, final = self.segments(), self.scored(), self.final()
+        inertia = self.model.cost if self.model else None
+        tables.write_csv(segment.expansion_targets(segments, "high"), f"{path}/expansion_group2_similar_high_priority")
+        tables.write_csv(segment.expansion_targets(segments, "medium"), f"{path}/expansion_group2_medium_priority")
+        tables.write_csv(segment.expansion_targets(segments, "all"), f"{path}/expansion_group2_all_targets")
+        tables.write_csv(segment.segmentation_summary(segments, inertia, self.advance_users()), f"{path}/clustering_summary")
+        tables.write_csv(scored, f"{path}/recommendations_with_risk_full")
+        tables.write_csv(final, f"{path}/recommendations_final_filtered")
+        tables.write_csv(serving.publish(final), f"{path}/recommendations_final_filtered_public")
+        tables.write_by(scored, "service_type", f"{path}/recommendations_by_service")
+        tables.write_by(final, "service_type", f"{path}/final_by_service")
+        tables.write_csv(reports.rules_summary(scored), f"{path}/business_rules_summary")
+        tables.write_csv(reports.risk_summary(scored), f"{path}/final_summary_with_risk")
+        tables.write_csv(feat.feature_catalog(self.features()), f"{path}/feature_list")
+        for name, df in self.summaries().items():
+            tables.write_json(df, f"{path}/{name}")
+
+    def publish(self, path: str) -> None:
+        """Documents, indexes, metadata and statistics of the serving side, as a full refresh."""
+        store = self.store()
+        recs = store.recommendations
+        tables.write_table(serving.rec_documents(recs, self.now), f"{path}/rec_documents")
+        tables.write_table(serving.profile_documents(self.profiles(), self.monthly(), self.now), f"{path}/profile_documents")
+        tables.write_table(serving.service_index(recs, self.now), f"{path}/service_index", ["service_type"])
+        tables.write_table(serving.risk_index(recs, self.now), f"{path}/risk_index", ["bad_debt_risk"])
+        tables.write_table(serving.cluster_index(recs, self.now), f"{path}/cluster_index", ["cluster_group"])
+        tables.write_table(reports.serving_metadata(recs, self.now), f"{path}/metadata")
+        if self.day is not None:
+            tables.write_table(reports.recommendation_stats(recs, self.day), f"{path}/recommendation_stats")
+
     def run(self) -> Store:
         """Build every stage."""
         return self.store()
