@@ -63,6 +63,12 @@ def q_master(spark, d):
     return rounded(mst.master_of(panel.extracts(spark, d)), "std_topup_amount")
 
 
+def q_phase1_unreduced(spark, d):
+    """Totals over a master that keeps every ARPU row of a key: more records, the same amounts."""
+    df = mst.master_of(panel.extracts(spark, d), reduce=False)
+    return rounded(reports.phase1_summary(df), "total_advance_amount", "total_topup_amount")
+
+
 def q_source_counts(spark, d):
     return reports.advance_source_counts(panel.n4(spark, d))
 
@@ -372,11 +378,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "advance_source_counts": q_source_counts,
         "master": q_master,
         "phase1_summary": of("master", reports.phase1_summary, "total_advance_amount", "total_topup_amount"),
+        "phase1_unreduced": q_phase1_unreduced,
         "monthly_stats": of("master", reports.monthly_stats, "total_topup", "total_advance"),
         "type_distribution": of("master", reports.type_distribution),
         "global_quantiles": q_global_quantiles,
         "features_advance": _features(feat.ADVANCE_FEATURES),
-        "features_topup": _features(feat.TOPUP_FEATURES, ("topup_cv",)),
+        "features_topup": _features(feat.TOPUP_FEATURES, ("topup_cv", "topup_amount_last_2m", "topup_amount_last_3m")),
         "features_financial": _features(feat.FINANCIAL_FEATURES),
         "features_profile": _features(feat.PROFILE_FEATURES + feat.INTERACTION_FEATURES),
         "phase2_summary": of("features", reports.phase2_summary),

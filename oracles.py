@@ -487,7 +487,7 @@ FINAL: dict[str, str] = {
         "topup_count_q75", "total_topup_amount_q75", "avg_topup_amount_q75", "total_package_value_q75",
         "total_package_value_q90")) + " FROM q",
     "features_advance": _feature_query(_FEATURE_TABLE[30:38]),
-    "features_topup": _feature_query(_FEATURE_TABLE[38:53], ("topup_cv",)),
+    "features_topup": _feature_query(_FEATURE_TABLE[38:53], ("topup_cv", "topup_amount_last_2m", "topup_amount_last_3m")),
     "features_financial": _feature_query(_FEATURE_TABLE[53:66]),
     "features_profile": _feature_query(_FEATURE_TABLE[66:]),
     "phase2_summary": f"""SELECT count(DISTINCT isdn) AS total_subscribers, {len(_FEATURE_TABLE)} AS total_features, """ + ", ".join(
@@ -688,6 +688,8 @@ FINAL: dict[str, str] = {
     "csv_ingest": "SELECT * FROM monthcounts",
     "file_inventory": "SELECT DISTINCT source, source || '_month=' || data_month AS name, data_month AS month FROM monthcounts",
 }
+FINAL["phase1_unreduced"] = f"""SELECT * REPLACE ((SELECT count(*) FROM n10 LEFT JOIN n1 USING (isdn, data_month)) AS total_records)
+    FROM ({FINAL['phase1_summary']})"""
 FINAL["csv_master"] = FINAL["monthly_stats"]
 
 

@@ -81,7 +81,7 @@ def build_features(master: DataFrame, ref_date: str = TENURE_REFERENCE_DATE,
     for w in (1, 2, 3):
         windowed[f"advance_count_last_{w}m"] = rolling_prev("advance_count", w)
         windowed[f"topup_count_last_{w}m"] = rolling_prev("topup_count", w)
-        windowed[f"topup_amount_last_{w}m"] = rolling_prev(c("total_topup_amount").cast("decimal(28,4)"), w).cast("double")
+        windowed[f"topup_amount_last_{w}m"] = rolling_prev("total_topup_amount", w)
     windowed["has_advance_history"] = has_history("advance_count")
     windowed["months_since_last_advance"] = months_since_last(c("advance_count") > 0)
 

@@ -235,11 +235,15 @@ def high_value_low_risk(recs: DataFrame, n: int = 1000, min_value: float = 70, m
 
 
 def search_subscribers(recs: DataFrame, search: str | None = None, service: str | None = None,
-                       risk: str | None = None) -> DataFrame:
-    """Literal, case-insensitive id search with two optional filters; blank and 'all' mean no filter."""
+                       risk: str | None = None, regex: bool = False) -> DataFrame:
+    """Case-insensitive id search with two optional filters; blank and 'all' mean no filter.
+
+    The text is literal, since ids contain characters such as `+`; `regex=True` makes it a pattern.
+    """
     out = recs
     if search and search.strip():
-        out = out.filter(F.contains(F.lower("isdn"), F.lit(search.strip().lower())))
+        text = search.strip()
+        out = out.filter(F.col("isdn").rlike(f"(?i){text}") if regex else F.contains(F.lower("isdn"), F.lit(text.lower())))
     if service and service != "all":
         out = out.filter(F.col("service_type") == service)
     if risk and risk != "all":

@@ -15,10 +15,19 @@ from subpanel.functions.columns import half_even, month_from_name
 from subpanel.schemas import INVENTORY_SOURCES, MONTHS, SOURCE_COLUMNS
 
 
-def _entry_name(path: Column, source: str) -> Column:
-    """Name of the file, or of the folder directly below the source folder that holds it."""
-    below = F.regexp_extract(path, f"/{source}/([^/]+)", 1)
-    return F.when(below != "", below).otherwise(F.element_at(F.split(path, "/"), -1))
+# Texts that stand for a missing value in the extracts.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def _entry(path: Column) -> Column:
+    """A monthly file, or the folder that holds its part files."""
+    part = F.element_at(F.split(path, "/"), -1).startswith("part-")
+    return F.when(part, F.regexp_extract(path, "^(.*)/[^/]+$", 1)).otherwise(path)
+
+
+def _name(entry: Column) -> Column:
+    return F.element_at(F.split(entry, "/"), -1)
 
 
 def list_source_files(spark: SparkSession, root: str, sources: Sequence[str] = tuple(INVENTORY_SOURCES)) -> DataFrame:
@@ -35,7 +44,7 @@ def list_source_files(spark: SparkSession, root: str, sources: Sequence[str] = t
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        name = _entry_name(F.col("path"), source)
+        name = _name(_entry(F.col("path")))
         one = files.filter(name.startswith(f"{source}_")).select(
             F.lit(source).alias("source"), "path", name.alias("name"),
             F.coalesce(month_from_name(name), F.lit("unknown")).alias("month"),
@@ -56,16 +65,13 @@ def _text_schema(columns: Sequence[str]) -> T.StructType:
 def _entries(spark: SparkSession, root: str, source: str, months: Sequence[str] | None) -> list[str]:
     """Paths of the source's monthly files or folders, in name order."""
     listed = list_source_files(spark, root, [source])
-    entry = F.regexp_extract("path", f"^(.*/{source}/[^/]+)", 1)
-    rows = listed.select(entry.alias("entry"), "name").distinct().orderBy("name").collect()
+    rows = listed.select(_entry(F.col("path")).alias("entry"), "name").distinct().orderBy("name").collect()
     return [r["entry"] for r in rows if months is None or any(m in r["name"] for m in months)]
 
 
-def with_data_month(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Tag rows with the month in the name of the file they come from."""
-    path = F.col("_metadata.file_path")
-    name = _entry_name(path, source) if source else F.element_at(F.split(path, "/"), -1)
-    return df.select("*", month_from_name(name).alias("data_month"))
+def with_data_month(df: DataFrame) -> DataFrame:
+    """Tag rows with the month in the name of the file or folder they come from."""
+    return df.select("*", month_from_name(_name(_entry(F.col("_metadata.file_path")))).alias("data_month"))
 
 
 def _header(spark: SparkSession, path: str, on_error: str) -> tuple[str, ...]:
@@ -101,7 +107,8 @@ def read_source(spark: SparkSession, root: str, source: str, months: Sequence[st
         part = (spark.read.option("header", True).option("mode", "PERMISSIVE")
                 .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
                 .schema(_text_schema(header)).csv(group))
-        part = with_data_month(part, None if files else source)
+        part = with_data_month(part)
+        part = part.withColumns({c: F.when(~F.col(c).isin(MISSING), F.col(c)) for c in header})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], _text_schema([*SOURCE_COLUMNS.get(source, ["isdn"]), "data_month"]))
@@ -116,7 +123,7 @@ def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None =
         paths = (files or {}).get(source)
         found = paths or _entries(spark, root, source, months)
         if found or source == "N10":
-            out[source] = read_source(spark, root, source, months, paths, on_error)
+            out[source] = read_source(spark, root, source, months, found, on_error)
     return out
 
 

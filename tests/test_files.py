@@ -39,6 +39,13 @@ def test_explicit_files_skip_the_month_filter(spark, root):
     assert values(df, "isdn", "data_month") == [("old", "202502")]
 
 
+def test_explicit_folder_of_part_files(spark, root, tmp_path):
+    folder = str(tmp_path / "elsewhere" / "N5_202507")
+    spark.createDataFrame([("p", "NA", "n/a")], "isdn string, topup_amount string, topup_channel string").write.option(
+        "header", True).csv(folder)
+    assert values(files.read_source(spark, root, "N5", files=[folder])) == [("p", None, None, "202507")]
+
+
 def test_unreadable_file_is_reported_and_skipped(spark, root):
     chosen = [f"{root}/N5/N5_202503.csv", f"{root}/N5/N5_209901.csv"]
     with warnings.catch_warnings(record=True) as seen:

@@ -37,6 +37,7 @@ def test_search_is_literal(spark):
     found = lambda *a: [r[0] for r in values(serving.search_subscribers(df, *a), "isdn")]
     assert found("+/") == ["++/hZ=="]
     assert found("HZ") == ["++/hZ==", "abhZcd"]
+    assert [r[0] for r in values(serving.search_subscribers(df, "^ab.z", regex=True), "isdn")] == ["abhZcd"]
     assert found(" ", "all", "all") == ["++/hZ==", "abhZcd"] and found(None, "Free") == ["abhZcd"]
 
 
