@@ -30,8 +30,10 @@ def stages(spark: SparkSession, sf_dir: str) -> Stages:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stages:
         path = f"{work_dir(spark)}/stages-{zlib.crc32(sf_dir.encode()):08x}"
+        rows = _customers(spark, sf_dir).count() * len(MONTHS)
+        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 10_000))
         _stages[key] = Stages(spark, lambda: panel.extracts(spark, sf_dir), path, centroids=CENTROIDS,
-                              targets="never_advanced", day=DAY, now=NOW)
+                              targets="never_advanced", day=DAY, now=NOW, buckets=buckets)
     return _stages[key]
 
 

@@ -1,11 +1,14 @@
 """The whole run: each stage is a stored table that the next stage reads.
 
 A stage is built on first use and read back afterwards, so lineage stays short, a lost executor
-costs one stage at most, and the latest month is read by partition pruning.
+costs one stage at most, and the latest month is read by partition pruning. With `buckets` set, the
+master is shuffled by subscriber once, and all later windows, groupings and joins on the subscriber
+read files that are already so divided.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
@@ -31,31 +34,37 @@ class Stages:
 
     centroids: cluster by these fixed centroids; None fits K-Means.
     targets: "segments" offers to Group 2, "never_advanced" to all who never advanced.
+    buckets: number of files by subscriber of each stage table; None writes plain tables.
     """
 
     def __init__(self, spark: SparkSession, extracts: Callable[[], Mapping[str, DataFrame]], path: str,
                  month: str = LATEST_MONTH, centroids: Sequence[Mapping[str, float]] | None = None,
                  targets: str = "segments", offer_params: OfferParams = OfferParams(),
                  risk_params: RiskParams = RiskParams(), cluster_params: ClusterParams = ClusterParams(),
-                 day: date | str | None = None, now: datetime | str | None = None):
+                 day: date | str | None = None, now: datetime | str | None = None, buckets: int | None = None):
         self.spark, self.extracts, self.path, self.month = spark, extracts, path.rstrip("/"), month
         self.centroids, self.target_mode = centroids, targets
         self.offer_params, self.risk_params, self.cluster_params = offer_params, risk_params, cluster_params
-        self.day, self.now = day, now
+        self.day, self.now, self.buckets = day, now, buckets
         self.model: segment.SegmentModel | None = None
         self._done: dict[str, DataFrame] = {}
 
-    def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
+    def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (),
+               spread: bool = False) -> DataFrame:
         if name not in self._done:
             location, df = f"{self.path}/{name}", build()
-            tables.write_table(df, location, partition_by)
-            # The schema is known, so reading back infers neither it nor the type of partition values.
-            df = tables.read_table(self.spark, location, schema=df.schema)
+            if self.buckets:
+                table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
+                df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread)
+            else:
+                tables.write_table(df, location, partition_by)
+                # The schema is known, so reading back infers neither it nor the type of partition values.
+                df = tables.read_table(self.spark, location, schema=df.schema)
             self._done[name] = df
         return self._done[name]
 
     def master(self) -> DataFrame:
-        return self.stored("master", lambda: mst.master_of(dict(self.extracts())), ["data_month"])
+        return self.stored("master", lambda: mst.master_of(dict(self.extracts())), ["data_month"], spread=True)
 
     def features(self) -> DataFrame:
         return self.stored("features", lambda: feat.build_features(self.master()), ["data_month"])

@@ -24,6 +24,21 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int, partition_by: Sequence[str] = (),
+                   spread: bool = False) -> DataFrame:
+    """Full refresh of a Parquet table whose files are split by a hash of the key; returns the table.
+
+    Joins, windows and groupings on the key between tables with the same number of buckets need no
+    shuffle. `spread` shuffles the rows by the key first; without it they must already be so
+    partitioned, or every task writes a file per bucket.
+    """
+    if spread:
+        df = df.repartition(buckets, key)
+    (df.write.mode("overwrite").option("path", path).option("compression", "snappy").partitionBy(*partition_by)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -74,30 +74,56 @@ def test_no_python_and_no_cross_join_in_any_plan(spark, sf_dir):
         assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin", text), name
 
 
-def test_master_shuffles_each_extract_once(spark, sf_dir):
-    """Six reductions by the key; the five joins reuse their partitioning."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        from subpanel.operators import master
-        from subpanel.sources import panel
-        stored = {}
-        for k, v in panel.extracts(spark, sf_dir).items():
-            path = f"{work_dir(spark)}/plan-{k}"
-            v.write.mode("overwrite").parquet(path)
-            stored[k] = spark.read.parquet(path)
-        text = plan(master.master_of(stored))
-        assert text.count("Exchange hashpartitioning") == 6 and text.count("SortMergeJoin") == 5
-        assert text.count("WindowGroupLimit") == 2
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_features_share_one_shuffle_and_window(stages):
+def test_features_share_one_shuffle_and_window(spark, stages, tmp_path):
     from subpanel.operators import features as feat
-    text = plan(feat.build_features(stages.master(), quantiles={n: 0.0 for n in feat.QUANTILES}))
+    stages.master().write.parquet(str(tmp_path / "master"))
+    text = plan(feat.build_features(spark.read.parquet(str(tmp_path / "master")), quantiles={n: 0.0 for n in feat.QUANTILES}))
     assert text.count("Exchange") == 1 and text.count("+- Window [") == 1
 
 
+@pytest.fixture()
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_master_shuffles_each_extract_once(spark, sf_dir, no_broadcast):
+    """Six reductions by the key; the five joins reuse their partitioning."""
+    from subpanel.operators import master
+    from subpanel.sources import panel
+    stored = {}
+    for k, v in panel.extracts(spark, sf_dir).items():
+        path = f"{work_dir(spark)}/plan-{k}"
+        v.write.mode("overwrite").parquet(path)
+        stored[k] = spark.read.parquet(path)
+    text = plan(master.master_of(stored))
+    assert text.count("Exchange hashpartitioning") == 6 and text.count("SortMergeJoin") == 5
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_no_shuffle_after_the_master(spark, sf_dir, tmp_path, no_broadcast):
+    """Bucketed stages: windows, groupings and joins on the subscriber read co-located files."""
+    from subpanel.operators import features as feat
+    from subpanel.operators import offers, profile
+    from subpanel.plans.stages import CENTROIDS, Stages
+    from subpanel.sources import panel
+    run = Stages(spark, lambda: panel.extracts(spark, sf_dir), str(tmp_path), centroids=CENTROIDS, targets="never_advanced",
+                 day="2025-08-31", now="2025-08-31", buckets=3)
+    store = run.run()
+    final = run.final()
+    plans = {
+        "features": feat.build_features(run.master(), quantiles={n: 0.0 for n in feat.QUANTILES}),
+        "offers": offers.recommend(run.features(), run.target_ids()),
+        "monthly": profile.monthly_arpu(run.master(), final),
+        "profile": profile.build_profile(final, run.monthly(), profile.topup_range(run.master(), final), run.segments()),
+        "serving": entry.serving.serving_recommendations(final, run.profiles(), "2025-08-31", "2025-08-31"),
+        "history": entry.serving.profile_with_history(run.profiles(), run.monthly())}
+    assert {n: plan(df).count("Exchange") for n, df in plans.items()} == dict.fromkeys(plans, 0)
+    plain = entry.stages(spark, sf_dir).store()
+    assert values(store.recommendations) == values(plain.recommendations)
+
+
 def test_offers_read_one_month_of_the_feature_table(spark, sf_dir):
     assert re.search(r"PartitionFilters: \[[^\]]*data_month[^\]]*202508", plan(entry.q_offers(spark, sf_dir)))
 
