@@ -16,12 +16,14 @@ def _position(score: str, id_column: str) -> Column:
 
 
 def slice_cuts(df: DataFrame, score: str, id_column: str, slices: int, sample: int = 4096) -> Column:
-    """Ordered cut points of (score, id), from the rows with the smallest id hashes, as a scalar.
+    """Ordered cut points of (score, id) as a scalar, from a repeatable sample of ids.
 
-    The sample has a fixed size and is repeatable. It only steers balance: any cut points give the
-    same ranks.
+    Ids are picked by hash, at a rate that gives between `sample` and twice as many, whatever the
+    number of rows. The sample only steers balance: any cut points give the same ranks.
     """
-    picked = df.select(_position(score, id_column).alias("p")).orderBy(F.xxhash64("p.id"), "p").limit(sample)
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    rate = F.greatest(F.floor(rows / sample), F.lit(1))
+    picked = df.filter(F.pmod(F.xxhash64(id_column), rate) == 0).select(_position(score, id_column).alias("p"))
     ordered = picked.agg(F.sort_array(F.collect_list("p")).alias("ps"))
     step = F.greatest(F.floor(F.size("ps") / slices), F.lit(1)).cast("int")
     return ordered.select(F.filter("ps", lambda x, i: (i % step == 0) & (i > 0)).alias("cuts")).scalar()

@@ -8,6 +8,7 @@ read files that are already so divided.
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
@@ -48,20 +49,22 @@ class Stages:
         self.day, self.now, self.buckets = day, now, buckets
         self.model: segment.SegmentModel | None = None
         self._done: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()
 
     def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (),
                spread: bool = False) -> DataFrame:
-        if name not in self._done:
-            location, df = f"{self.path}/{name}", build()
-            if self.buckets:
-                table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
-                df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread)
-            else:
-                tables.write_table(df, location, partition_by)
-                # The schema is known, so reading back infers neither it nor the type of partition values.
-                df = tables.read_table(self.spark, location, schema=df.schema)
-            self._done[name] = df
-        return self._done[name]
+        with self._lock:
+            if name not in self._done:
+                location, df = f"{self.path}/{name}", build()
+                if self.buckets:
+                    table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
+                    df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread)
+                else:
+                    tables.write_table(df, location, partition_by)
+                    # The schema is known, so reading back infers neither it nor the type of partition values.
+                    df = tables.read_table(self.spark, location, schema=df.schema)
+                self._done[name] = df
+            return self._done[name]
 
     def master(self) -> DataFrame:
         return self.stored("master", lambda: mst.master_of(dict(self.extracts())), ["data_month"], spread=True)

@@ -33,6 +33,7 @@ SOURCE_COLUMNS = {
 }
 INVENTORY_SOURCES = ["N1", "N2", "N3", "N4", "N5", "N6", "N7", "N8", "N10"]
 
+# Column names and order of the master table.
 BASE_COLUMNS = ["isdn", "subscriber_type", "subscriber_status", "status_detail",
                 "activation_date", "expire_date", "data_month"]
 ARPU_COLUMNS = ["arpu_call", "arpu_sms", "arpu_data", "arpu_total"]
@@ -54,6 +55,7 @@ MASTER_ZERO_FILL = [c for c in MASTER_COLUMNS
 # Columns of the feature table that identify a row or describe it in words; the rest are features.
 NON_FEATURE_COLUMNS = BASE_COLUMNS + MASTER_STRING_FILL + MASTER_BOOL_FILL
 
+# Column names and order of offers and profiles.
 RECOMMENDATION_COLUMNS = [
     "isdn", "subscriber_type", "service_type", "advance_amount", "usage_time_hours", "revenue_per_advance",
     "arpu", "arpu_call", "arpu_sms", "arpu_data", "voice_sms_pct",
@@ -85,6 +87,7 @@ def _fields(*specs: tuple[str, str, bool]) -> T.StructType:
     return T.StructType([T.StructField(name, _type(kind), nullable) for name, kind, nullable in specs])
 
 
+# Declared columns and types of the serving tables.
 SERVING_RECOMMENDATIONS = _fields(
     ("isdn", "string", False),
     ("subscriber_type", "string", False),

@@ -28,8 +28,12 @@ def _in_panel(c: str) -> Column:
             & (F.col(c) < F.lit(f"{LAST_YEAR + 1}-01-01").cast("timestamp")))
 
 
+def _month_of_year(year: Column) -> Column:
+    return (F.lit(int(MONTHS[0])) + year - FIRST_YEAR).cast("string")
+
+
 def _month(c: str) -> Column:
-    return (F.lit(int(MONTHS[0])) + F.year(c) - FIRST_YEAR).cast("string")
+    return _month_of_year(F.year(c))
 
 
 def _customers(spark, sf_dir):
@@ -68,14 +72,15 @@ def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda letter: F.sum(F.when(F.col("l_returnflag") == letter, F.col("v")).otherwise(zero))
     factor = F.when(F.col("o_custkey") % 7 == 0, 12).otherwise(1)
     sums = ["arpu_call", "arpu_sms", "arpu_data", "arpu_total"]
-    return (_lines(spark, sf_dir, "l_returnflag", "l_quantity", "l_discount")
-            .select("l_orderkey", "data_month", "l_returnflag", v.alias("v"))
-            .groupBy("l_orderkey", "data_month")
+    return (_table(spark, sf_dir, "lineitem").filter(_in_panel("l_shipdate"))
+            .select("l_orderkey", F.year("l_shipdate").alias("year"), "l_returnflag", v.alias("v"))
+            .groupBy("l_orderkey", "year")
             .agg(part("A").alias("arpu_call"), part("R").alias("arpu_sms"),
                  part("N").alias("arpu_data"), F.sum("v").alias("arpu_total"))
             .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-            .select("isdn", "data_month", *[(F.col(c) * factor).cast(MONEY).alias(c) for c in sums]))
+            .select("isdn", _month_of_year(F.col("year")).alias("data_month"),
+                    *[(F.col(c) * factor).cast(MONEY).alias(c) for c in sums]))
 
 
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
