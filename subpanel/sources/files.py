@@ -58,6 +58,14 @@ def list_source_files(spark: SparkSession, root: str, sources: Sequence[str] = t
     return out.join(counts, "source")
 
 
+def source_counts(spark: SparkSession, root: str, sources: Sequence[str] = tuple(INVENTORY_SOURCES)) -> DataFrame:
+    """Every known source with its number of files, 0 for an absent or empty folder."""
+    known = spark.createDataFrame([(s,) for s in sources], "source string")
+    found = list_source_files(spark, root, sources).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(found, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("file_count"),
+                                                      F.col("n").isNotNull().alias("has_files"))
+
+
 def _text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -85,13 +93,16 @@ def _header(spark: SparkSession, path: str, on_error: str) -> tuple[str, ...]:
 
 
 def read_source(spark: SparkSession, root: str, source: str, months: Sequence[str] | None = tuple(MONTHS),
-                files: Sequence[str] | None = None, on_error: str = "skip") -> DataFrame:
+                files: Sequence[str] | None = None, on_error: str = "skip",
+                ignore_corrupt: bool = False) -> DataFrame:
     """All rows of one source as text columns plus `data_month`.
 
     An explicit file list replaces the listing and its month filter. Files are grouped by header,
     each group is one scan, and groups are united by name with nulls for absent columns. With
-    on_error="skip" unreadable files are reported and left out; with "fail" they raise. A source
-    without files gives no rows and the declared columns.
+    on_error="skip" files that cannot be opened are reported and left out; with "fail" they raise.
+    A file that breaks off while it is read (a cut archive, say) raises unless `ignore_corrupt`,
+    which silently keeps what came before. A source without files gives no rows and the declared
+    columns.
     """
     paths = list(files) if files else _entries(spark, root, source, months)
     by_header: dict[tuple[str, ...], list[str]] = {}
@@ -101,11 +112,12 @@ def read_source(spark: SparkSession, root: str, source: str, months: Sequence[st
     for path, header in zip(paths, headers):
         if header:
             by_header.setdefault(header, []).append(path)
-    skip = str(on_error == "skip").lower()
     out = None
     for header, group in by_header.items():
-        part = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-                .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
+        # The header of every file is checked against the group's, so part files of one folder that
+        # differ raise an error instead of shifting columns.
+        part = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+                .option("ignoreCorruptFiles", ignore_corrupt).option("ignoreMissingFiles", ignore_corrupt)
                 .schema(_text_schema(header)).csv(group))
         part = with_data_month(part)
         part = part.withColumns({c: F.when(~F.col(c).isin(MISSING), F.col(c)) for c in header})

@@ -71,6 +71,20 @@ def test_inventory(spark, root):
     assert ("N5", "N5_202503.csv", "202503", 4) in rows and ("N10", "N10_202503.csv", "202503", 1) in rows and len(rows) == 5
 
 
+def test_source_counts(spark, root):
+    got = {r.source: (r.file_count, r.has_files) for r in files.source_counts(spark, root).collect()}
+    assert got["N5"] == (4, True) and got["N10"] == (1, True) and got["N7"] == (0, False) and len(got) == 9
+
+
+def test_part_files_with_differing_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "N5" / "N5_202503"
+    folder.mkdir(parents=True)
+    (folder / "part-0.csv").write_text("isdn,topup_amount\na,1\n")
+    (folder / "part-1.csv").write_text("topup_amount,isdn\n2,b\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_source(spark, str(tmp_path), "N5").select("isdn", "topup_amount").collect()
+
+
 def test_extract_round_trip(spark, tmp_path, sf_dir):
     from subpanel.sources import panel
     n5 = panel.n5(spark, sf_dir)
