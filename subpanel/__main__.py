@@ -22,7 +22,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--on-error", choices=["skip", "fail"], default="skip", help="what to do with unreadable files")
     p.add_argument("--params", help="JSON file with objects `offers`, `risk` and `clusters`")
     p.add_argument("--day", default=str(date.today()), help="date written into the serving tables")
-    p.add_argument("--buckets", type=int, help="files by subscriber per stage table, default the shuffle partitions")
+    p.add_argument("--buckets", type=lambda v: v if v == "auto" else int(v), default="auto", help="files by subscriber per stage table")
     for source in SOURCE_COLUMNS:
         p.add_argument(f"--{source}", nargs="*", metavar="FILE", help=f"explicit files of {source}")
     return p.parse_args(argv)
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
                  month=args.latest or max(args.months), offer_params=OfferParams(**settings.get("offers", {})),
                  risk_params=RiskParams(**settings.get("risk", {})),
                  cluster_params=ClusterParams(**settings.get("clusters", {})), day=args.day,
-                 buckets=args.buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+                 buckets=args.buckets)
     run.run()
     run.export(f"{args.out}/export")
     run.publish(f"{args.out}/serving")

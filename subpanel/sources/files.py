@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,32 +31,33 @@ def _name(entry: Column) -> Column:
     return F.element_at(F.split(entry, "/"), -1)
 
 
+def _listing(spark: SparkSession, root: str, source: str) -> DataFrame | None:
+    """Files of one source, None when its folder is absent. Reads the listing, not the contents."""
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                 .option("pathGlobFilter", "*.csv").load(f"{root}/{source}"))
+    except PySparkException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    entry = _entry(F.col("path"))
+    return files.filter(_name(entry).startswith(f"{source}_")).select(
+        F.lit(source).alias("source"), "path", entry.alias("entry"), _name(entry).alias("name"),
+        F.coalesce(month_from_name(_name(entry)), F.lit("unknown")).alias("month"),
+        half_even(F.col("length") / (1024 * 1024), 2).alias("size_mb"), F.col("modificationTime").alias("modified"))
+
+
 def list_source_files(spark: SparkSession, root: str, sources: Sequence[str] = tuple(INVENTORY_SOURCES)) -> DataFrame:
     """Files below root/<source>: name, month, size in MB, time of change and number of files per source.
 
-    Only the listing is read, not the contents. Absent folders give no rows.
+    Absent folders give no rows.
     """
-    out = None
-    for source in sources:
-        try:
-            files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                     .option("pathGlobFilter", "*.csv").load(f"{root}/{source}"))
-        except PySparkException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        name = _name(_entry(F.col("path")))
-        one = files.filter(name.startswith(f"{source}_")).select(
-            F.lit(source).alias("source"), "path", name.alias("name"),
-            F.coalesce(month_from_name(name), F.lit("unknown")).alias("month"),
-            half_even(F.col("length") / (1024 * 1024), 2).alias("size_mb"),
-            F.col("modificationTime").alias("modified"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    found = [df for source in sources if (df := _listing(spark, root, source)) is not None]
+    if not found:
         return spark.createDataFrame([], "source string, path string, name string, month string, size_mb double, "
                                          "modified timestamp, file_count bigint")
-    counts = out.groupBy("source").agg(F.count(F.lit(1)).alias("file_count"))
-    return out.join(counts, "source")
+    out = reduce(DataFrame.unionByName, found).drop("entry")
+    return out.join(out.groupBy("source").agg(F.count(F.lit(1)).alias("file_count")), "source")
 
 
 def source_counts(spark: SparkSession, root: str, sources: Sequence[str] = tuple(INVENTORY_SOURCES)) -> DataFrame:
@@ -72,8 +74,8 @@ def _text_schema(columns: Sequence[str]) -> T.StructType:
 
 def _entries(spark: SparkSession, root: str, source: str, months: Sequence[str] | None) -> list[str]:
     """Paths of the source's monthly files or folders, in name order."""
-    listed = list_source_files(spark, root, [source])
-    rows = listed.select(_entry(F.col("path")).alias("entry"), "name").distinct().orderBy("name").collect()
+    listed = _listing(spark, root, source)
+    rows = [] if listed is None else listed.select("entry", "name").distinct().orderBy("name").collect()
     return [r["entry"] for r in rows if months is None or any(m in r["name"] for m in months)]
 
 

@@ -152,7 +152,7 @@ def test_whole_run_with_fitted_clusters(spark, sf_dir, tmp_path):
     from subpanel.plans.stages import Stages
     from subpanel.sources import panel
     run = Stages(spark, lambda: panel.extracts(spark, sf_dir), str(tmp_path), cluster_params=ClusterParams(n_init=2, max_iter=100),
-                 day="2025-08-31", now="2025-08-31")
+                 day="2025-08-31", now="2025-08-31", buckets=None)
     store = run.run()
     targets = run.segments().filter("segment LIKE 'GROUP_2%' AND subscriber_type = 'PRE'")
     assert run.scored().count() == targets.count()
