@@ -9,12 +9,22 @@ Every pass is one distributed aggregation whose result has at most `buckets` row
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_LARGEST = sys.float_info.max
+
+
+def _finite(name: str) -> Column:
+    """Missing and NaN values are ignored; infinite ones count as the largest finite number."""
+    x = F.col(name).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST)))
+
+
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]],
                     distinct_limit: int = 100_000, buckets: int = 512) -> dict[str, float | None]:
     """Linear-interpolation quantiles as {name: value} for wanted = {name: (column, q)}.
@@ -23,7 +33,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]],
     a stored table, not a long plan.
     """
     columns = sorted({c for c, _ in wanted.values()})
-    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    narrow = df.select(*[_finite(c).alias(c) for c in columns])
     sizing = narrow.agg(*[f(c).alias(f"{c}:{tag}") for c in columns for tag, f in (
         ("n", F.count), ("lo", F.min), ("hi", F.max), ("distinct", F.approx_count_distinct))]).first()
 
@@ -63,7 +73,10 @@ def _order_statistics(narrow: DataFrame, spans: dict[tuple[str, int], tuple[floa
         distinct_spans = sorted({(t[0], *s) for t, s in spans.items()})
         cells = []
         for i, (c, lo, hi) in enumerate(distinct_spans):
-            cell = F.least(F.floor((F.col(c) - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+            # Halved where the width of the span exceeds the largest number.
+            scale = 0.5 if math.isinf(hi - lo) else 1.0
+            share = (F.col(c) * scale - lo * scale) / (hi * scale - lo * scale)
+            cell = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
             cells.append(F.when(F.col(c).between(lo, hi), F.struct(
                 F.lit(i).alias("span"), cell.alias("cell"), F.col(c).alias("v"))))
         counted = (narrow.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x"))

@@ -87,6 +87,13 @@ def test_quantiles_with_one_value_owning_most_rows(spark):
     assert exact_quantiles(df, wanted, distinct_limit=0, buckets=16) == exact_quantiles(df, wanted)
 
 
+def test_quantiles_of_extreme_values(spark):
+    xs = [float("-inf"), -1e308, 1.0, 2.0, 3.0, 1e308, float("inf"), float("nan"), 0.0, 5e-324]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for k, want in enumerate([-1.7976931348623157e308, -1e308, 0.0, 5e-324, 1.0, 2.0, 3.0, 1e308, 1.7976931348623157e308]):
+        assert exact_quantiles(df, {"q": ("x", k / 8)}, distinct_limit=0, buckets=4)["q"] == want
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, {"q": ("x", 0.5)}) == {"q": None}
