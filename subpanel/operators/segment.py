@@ -13,7 +13,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from subpanel.functions.columns import case_when, exact_avg, half_even, is_true, pct
+from subpanel.functions.columns import case_when, half_even, is_true, pct
 from subpanel.operators.features import TOPUP_FEATURES
 from subpanel.operators.params import ClusterParams
 
@@ -213,8 +213,8 @@ def cluster_profiles(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATU
     """
     df = clean_matrix(df, columns)
     pairs = lambda t: F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in columns])).alias(t)
-    centres = df.groupBy("cluster").agg(*[exact_avg(n).alias(n) for n in columns]).select("cluster", pairs("p"))
-    means = df.agg(*[exact_avg(n).alias(n) for n in columns]).select(pairs("p"))
+    centres = df.groupBy("cluster").agg(*[F.avg(n).alias(n) for n in columns]).select("cluster", pairs("p"))
+    means = df.agg(*[F.avg(n).alias(n) for n in columns]).select(pairs("p"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("center"), "feature"))
     return (centres.select("cluster", F.col("p.feature").alias("feature"), F.col("p.v").alias("center"))
             .join(F.broadcast(means.select(F.col("p.feature").alias("feature"), F.col("p.v").alias("overall_mean"))),

@@ -1,5 +1,6 @@
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,10 @@ def test_tenure(spark):
     assert one(spark, c.tenure_days("x", "2025-08-01"), date(2025, 7, 2), "date") == 30
     assert one(spark, c.tenure_days("x", "2025-08-01"), date(2026, 1, 1), "date") == 0
     assert one(spark, c.tenure_days("x", "2025-08-01"), None, "date") is None
+
+
+def test_rounding_equals_numpy(spark):
+    xs = [i * 250.0 for i in range(-40, 401)] + [12499.999, 12500.001, 0.5, 1.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select("x", c.half_even("x", -3).alias("k"), c.half_even("x").alias("n")).collect()
+    assert all(r.k == np.round(r.x, -3) and r.n == np.round(r.x, 0) for r in rows)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from subpanel.__main__ import main, parse
-from subpanel.operators import monthly
+from subpanel.operators import master, monthly
 from subpanel.sources import files, panel
 
 
@@ -57,3 +57,25 @@ def test_hot_key_reaches_the_shuffle_aggregated(spark):
     text = monthly.agg_topup(df)._jdf.queryExecution().executedPlan().toString()
     before, after = text.index("partial_mode"), text.index("Exchange hashpartitioning")
     assert after < before  # the plan prints the root first
+
+
+def test_one_key_owning_a_third_of_every_extract(spark):
+    """The master of hot raw rows equals the one worked out by hand."""
+    n, third = 3000, 1000
+    ids = spark.range(n).select("id", F.when(F.col("id") < third, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("isdn"),
+                                F.lit("202508").alias("data_month")).repartition(8)
+    n10 = ids.select("isdn", "data_month", F.when(F.col("id") == 7, "POS").otherwise("PRE").alias("subscriber_type"),
+                     F.lit("ACTIF").alias("subscriber_status"), F.lit("d").alias("status_detail"),
+                     F.when(F.col("id") == 7, "01/02/2024").otherwise("01/01/2024").alias("activation_date"),
+                     F.lit("01/01/2034").alias("expire_date"))
+    n1 = ids.select("isdn", "data_month", *[(F.col("id") % 10).alias(c) for c in ("arpu_call", "arpu_sms", "arpu_data", "arpu_total")])
+    n4 = ids.select("isdn", "data_month", F.lit("100").alias("amount"), F.when(F.col("id") % 2 == 0, "ut").otherwise("hu").alias("source"),
+                    F.lit("EasyCredit").alias("advance_service_type"))
+    n2 = ids.select("isdn", "data_month", F.lit("P").alias("package_code"), F.lit("3").alias("package_price"),
+                    F.lit("30").alias("package_cycle"), F.lit(None).cast("string").alias("package_renewal_datetime"))
+    got = {r.isdn: r for r in master.build_master(n10, n1, n4, None, n2, ids).collect()}
+    hot = got["hot"]
+    assert len(got) == 21
+    assert (hot.subscriber_type, hot.arpu_total, hot.advance_count, hot.total_advance_amount) == ("POS", 4.5, third, third / 2 * 10.0)
+    assert (hot.avg_repayment_rate, hot.num_packages, hot.total_package_value, hot.n3_record_count) == (1.0, third, 3.0 * third, third)
+    assert sum(r.n3_record_count for r in got.values()) == n
