@@ -80,6 +80,9 @@ def assign_clusters(df: DataFrame, centroids: Sequence[Mapping[str, float]]) ->
     return df.withColumn("cluster", F.array_min(options)["cluster"])
 
 
+# Least rows worth a task of their own in a pass over the vectors.
+ROWS_PER_TASK = 50_000
+
 # Prefix of the cleaned copies a model reads.
 _CLEAN = "_x_"
 
@@ -117,7 +120,9 @@ def fit_segments(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATURES)
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)])
     matrix = clean_matrix(df.select(*columns), columns, prefix=_CLEAN)
     prepared = prepare.fit(matrix)
-    vectors = prepared.transform(matrix).select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    # Many short passes follow: fewer tasks for a small snapshot, all of them for a large one.
+    tasks = max(1, matrix.count() // ROWS_PER_TASK)
+    vectors = prepared.transform(matrix).select("_scaled").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def fit(start: int):
             km = KMeans(featuresCol="_scaled", k=params.n_clusters, seed=params.random_state + start,
