@@ -29,16 +29,30 @@ def slice_cuts(df: DataFrame, score: str, id_column: str, slices: int, sample: i
     return ordered.select(F.filter("ps", lambda x, i: (i % step == 0) & (i > 0)).alias("cuts")).scalar()
 
 
+def with_slice(df: DataFrame, score: str, id_column: str, slices: int) -> DataFrame:
+    """Number of cut points at or below the row, as `_slice`, by binary search.
+
+    Each step is a column of its own that the next one reads, so the search costs a handful of
+    comparisons in generated code. Looking past the last cut point gives null and stays put.
+    """
+    out = df.withColumns({"_cuts": slice_cuts(df, score, id_column, slices), "_slice": F.lit(0)})
+    step = 1 << (2 * slices).bit_length() - 1  # there are fewer than twice as many cut points as slices
+    while step:
+        reached = F.get("_cuts", F.col("_slice") + (step - 1)) <= _position(score, id_column)
+        out = out.withColumn("_slice", F.col("_slice") + F.when(reached, step).otherwise(0))
+        step >>= 1
+    return out.drop("_cuts")
+
+
 def rank_descending(df: DataFrame, group: str, score: str, id_column: str, slices: int = 128) -> DataFrame:
     """0-based rank inside the group by score, then id, both descending; exact at any group size.
 
     A slice holds about 1/`slices` of all rows, ties included, because the id is part of the cut.
     The score must not be null.
     """
-    rows = (df.withColumn("_cuts", slice_cuts(df, score, id_column, slices))
-            .withColumn("_slice", F.size(F.filter("_cuts", lambda x: x <= _position(score, id_column)))).drop("_cuts"))
+    rows = with_slice(df, score, id_column, slices)
     cell = [group, "_slice"]
-    # At most `slices` + 1 rows per group, however many rows the group has.
+    # Fewer than twice `slices` rows per group, however many rows the group has.
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -14,8 +14,8 @@ from subpanel.operators.profile import insight_columns, priority, public_service
 from subpanel.operators.ranking import rank_descending
 from subpanel.schemas import (ARPU_COLUMNS, SERVING_MONTHLY, SERVING_PROFILES, SERVING_RECOMMENDATIONS)
 
-# Lifetimes in days and the data version of the metadata document.
-DOCUMENT_DAYS, INDEX_DAYS, DATA_VERSION = 7, 30, "v1.0"
+# Lifetimes in days.
+DOCUMENT_DAYS, INDEX_DAYS = 7, 30
 
 
 def _now(now: datetime | str | None) -> Column:
@@ -87,6 +87,7 @@ def compact_map(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull() & (v != "") & (v != "nan"))
 
 
+# Field names of a recommendation document.
 DOCUMENT_FIELDS = ["isdn", "subscriber_type", "service_type", "advance_amount", "revenue_per_advance",
                    "cluster_group", "bad_debt_risk", "arpu_avg_6m", "arpu_growth_rate", "arpu_trend",
                    "customer_value_score", "advance_readiness_score", "priority_score", "user_type",

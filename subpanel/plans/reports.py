@@ -226,6 +226,10 @@ def phase4_summary(filtered: DataFrame) -> DataFrame:
 
 # --- serving store --------------------------------------------------------------------------
 
+# Fixed value: data version of the metadata document.
+DATA_VERSION = "v1.0"
+
+
 def serving_metadata(recs: DataFrame, now: datetime | str | None = None) -> DataFrame:
     """One metadata document as (field, value) rows."""
     at = F.current_timestamp() if now is None else F.lit(str(now)).cast("timestamp")
@@ -236,7 +240,7 @@ def serving_metadata(recs: DataFrame, now: datetime | str | None = None) -> Data
                    level("MEDIUM").alias("total_medium_risk"),
                    number_text(half_even(exact_avg("advance_amount"), 2), 2).alias("avg_advance_amount"),
                    number_text(half_even(exact_sum("revenue_per_advance"), 2), 2).alias("total_revenue_potential"))
-    row = row.withColumns({"last_updated": at, "data_version": F.lit("v1.0")})
+    row = row.withColumns({"last_updated": at, "data_version": F.lit(DATA_VERSION)})
     return row.select(F.explode(F.create_map(*[x for c in row.columns for x in (
         F.lit(c), F.col(c).cast("string"))])).alias("field", "value"))
 
