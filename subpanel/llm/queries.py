@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from subpanel.llm import simhash
+from subpanel.llm import decontaminate, packing, simhash
 from subpanel.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "verdict.n_words", "verdict.n_hit", F.size("verdict.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("verdict.item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents")).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {
+        "op2_decontaminate": op2_decontaminate,
+        "op9_simhash": op9_simhash,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracles() -> dict[str, str]:
