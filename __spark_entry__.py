@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import zlib
 from collections.abc import Callable
 
@@ -20,6 +21,13 @@ from subpanel.schemas import (ARPU_COLUMNS, KEYS, MONTHS, RISK_LEVELS, SERVICE_C
 from subpanel.session import work_dir
 from subpanel.sources import files, merge, panel
 
+# The training-data operators are optional: without their folder all other queries work.
+if importlib.util.find_spec("subpanel.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from subpanel.llm import queries as corpus
+else:
+    corpus_pipeline = corpus = None
+
 DAY, NOW, LATER = "2025-08-31", "2025-08-31 00:00:00", "2025-09-05 00:00:00"
 
 _stages: dict[tuple[str, str], Stages] = {}
@@ -485,8 +493,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_ingest": q_csv_ingest,
         "csv_master": q_csv_master,
         "file_inventory": q_file_inventory,
-    }
+    } | ({**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries()
+    return oracle_queries() | (corpus.oracles() if corpus else {})
