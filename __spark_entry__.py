@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import zlib
 from collections.abc import Callable
 
@@ -22,10 +21,10 @@ from subpanel.session import work_dir
 from subpanel.sources import files, merge, panel
 
 # The training-data operators are optional: without their folder all other queries work.
-if importlib.util.find_spec("subpanel.llm") and importlib.util.find_spec("corpus_pipeline"):
+try:
     import corpus_pipeline
     from subpanel.llm import queries as corpus
-else:
+except ImportError:
     corpus_pipeline = corpus = None
 
 DAY, NOW, LATER = "2025-08-31", "2025-08-31 00:00:00", "2025-09-05 00:00:00"
