@@ -37,30 +37,72 @@ class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit values, remembering pieces between ASCII white space.
 
     Normaliser, splitter and merges of the tokenizer never look across white space, so a text's ids are those of its
-    pieces in order. At most `remember` pieces are kept.
+    pieces in order. Of an ASCII piece, case does not matter and a tail of stops is a token run of its own. About
+    `remember` recent pieces are kept, and as many of the time before.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
-        pieces = (text or "").encode("utf-8", "replace").split()
+        data = (text or "").encode("utf-8", "replace")
+        if data.isascii() and b"<|" not in data:  # names of special tokens are case-sensitive
+            data = data.lower()
+        pieces = data.split()
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            self.learn(pieces)
+            self.learn(set(pieces))
             return b"".join(map(self.known.__getitem__, pieces))
 
-    def learn(self, pieces: list[bytes]) -> None:
+    def learn(self, pieces: set[bytes]) -> None:
+        """Make all pieces known."""
         if len(self.known) > self.remember:
-            self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
+            self.known, self.older = {}, self.known
+        known, older, split, new = self.known, self.older, [], set()
+        for piece in pieces:
+            if piece in known:
+                continue
+            if piece in older:
+                known[piece] = older[piece]
+                continue
+            core = piece.rstrip(b".,;:!?")
+            low = core.lower()
+            if low.isalpha() and low != piece:
+                split.append((piece, low, piece[len(core):]))
+                for part in (low, piece[len(core):]):
+                    if part and part not in known:
+                        if part in older:
+                            known[part] = older[part]
+                        else:
+                            new.add(part)
+            else:
+                new.add(piece)
+        # A word of lower-case ASCII letters passes normaliser and splitter unchanged: its merges are all that is left.
+        words = [p for p in new if p.isalpha() and p.islower()]
+        known.update((p, np.asarray([t.id for t in self.model.tokenize(p.decode())], "<u4").tobytes()) for p in words)
+        order = list(new.difference(words))
+        for i in range(0, len(order), 4096):
+            some = order[i:i + 4096]
             found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
+            known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
+        for piece, low, tail in split:
+            known[piece] = known[low] + (known[tail] if tail else b"")
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process, so later tasks find pieces that are known already."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -69,7 +111,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                         ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = WordEncoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), {}
         tail = np.asarray([end_id], "<u4").tobytes()
         for batch in small_batches(batches):
             cols: list[list] = [[] for _ in schema]
