@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,17 @@ LENGTH = 2048
 END_ID = 1
 MAX_QUEUES = 1024
 MAX_BROADCAST_ROWS = 200_000
+#: Runs of these after a word are a token run of their own.
+STOPS = b".,;:!?*#%$&()[]{}-_/+=~^@"
+
+
+def _byte_signs() -> dict[int, int]:
+    """Signs that byte-level vocabularies use for bytes: printable ones stand for themselves, the others follow U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+BYTE_SIGNS = _byte_signs()
 TOKENS = "part int, queue string, before long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,7 +49,7 @@ class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit values, remembering pieces between ASCII white space.
 
     Normaliser, splitter and merges of the tokenizer never look across white space, so a text's ids are those of its
-    pieces in order. Of an ASCII piece, case does not matter and a tail of stops is a token run of its own. About
+    pieces in order. Of a word, case does not matter and a tail of stops is a token run of its own. About
     `remember` recent pieces are kept, and as many of the time before.
     """
 
@@ -64,33 +76,37 @@ class WordEncoder:
         """Make all pieces known."""
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        known, older, split, new = self.known, self.older, [], set()
-        for piece in pieces:
-            if piece in known:
+        known, older, split, new, words = self.known, self.older, [], [], set()
+
+        def recall(part: bytes) -> bool:
+            if part in older:
+                known[part] = older[part]
+            return part in known
+
+        for piece in pieces - known.keys():
+            if recall(piece):
                 continue
-            if piece in older:
-                known[piece] = older[piece]
+            core = piece.rstrip(STOPS)
+            word = core.decode().lower()
+            # A word of plain letters passes normaliser and splitter unchanged: its merges are all that is left.
+            if not word.isalpha() or max(word) >= "\u0250":
+                new.append(piece)
                 continue
-            core = piece.rstrip(b".,;:!?")
-            low = core.lower()
-            if low.isalpha() and low != piece:
-                split.append((piece, low, piece[len(core):]))
-                for part in (low, piece[len(core):]):
-                    if part and part not in known:
-                        if part in older:
-                            known[part] = older[part]
-                        else:
-                            new.add(part)
-            else:
-                new.add(piece)
-        # A word of lower-case ASCII letters passes normaliser and splitter unchanged: its merges are all that is left.
-        words = [p for p in new if p.isalpha() and p.islower()]
-        known.update((p, np.asarray([t.id for t in self.model.tokenize(p.decode())], "<u4").tobytes()) for p in words)
-        order = list(new.difference(words))
-        for i in range(0, len(order), 4096):
-            some = order[i:i + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
+            low, tail = word.encode(), piece[len(core):]
+            if low not in known and not recall(low):
+                words.add(low)
+            if tail and tail not in known and not recall(tail):
+                new.append(tail)
+            if low != piece:
+                split.append((piece, low, tail))
+        tokenize = self.model.tokenize
+        for low in words:
+            ids = [t.id for t in tokenize(low.decode("latin-1").translate(BYTE_SIGNS))]
+            known[low] = pack_ids(f"<{len(ids)}I", *ids)
+        for i in range(0, len(new), 4096):
+            some = new[i:i + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                known[p] = pack_ids(f"<{len(e.ids)}I", *e.ids)
         for piece, low, tail in split:
             known[piece] = known[low] + (known[tail] if tail else b"")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subpanel.llm import decontaminate, packing, quality, simhash, substring
+from subpanel.llm import decontaminate, language, packing, quality, simhash, substring, toxicity
 from subpanel.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.array_join("verdict.item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_substring(spark: SparkSession, d: str) -> DataFrame:
     found = substring.dedup(table(spark, d, "documents"))
     return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"),
@@ -28,6 +32,11 @@ def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents")).select("doc_id", "quality_score", "kept")
 
 
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    found = toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -39,8 +48,10 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op4_language": op4_language,
         "op6_substring": op6_substring,
         "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
