@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subpanel.llm import chat, decontaminate, extraction, language, packing, quality, simhash, substring, toxicity
+from subpanel.llm import chat, decontaminate, extraction, language, neighbours, packing, quality, simhash, substring, toxicity
 from subpanel.llm.common import table
 
 
+def op1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.search(table(spark, d, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select(
@@ -59,6 +63,7 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": op1_neighbours,
         "op2_decontaminate": op2_decontaminate,
         "op3_chat": op3_chat,
         "op4_language": op4_language,
