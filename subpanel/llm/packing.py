@@ -83,7 +83,7 @@ class WordEncoder:
                 known[part] = older[part]
             return part in known
 
-        for piece in pieces - known.keys():
+        for piece in [p for p in pieces if p not in known]:
             if recall(piece):
                 continue
             core = piece.rstrip(STOPS)
