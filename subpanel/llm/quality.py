@@ -146,7 +146,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Callable[[Column], C
                              "x": [features(t or "", s).astype(np.float16).tobytes() for t, s in zip(texts, all_stats)]})
 
     drawn = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))) & (F.trim("text") != ""))
-    sample = drawn.select(rows(F.col("text")).alias("r")).select("r.*").orderBy("votes", "x").collect()
+    sample = sorted(drawn.select(rows(F.col("text")).alias("r")).select("r.*").collect(), key=lambda r: (r["votes"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.float16).reshape(-1, DIMS).astype(np.float32)
     w, b = fit_linear(x, np.array([good.get(r["votes"], 0.5) for r in sample]))
     return score_column(w, b), told

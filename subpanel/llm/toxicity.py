@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from subpanel.llm.common import map_arrow, prepare, small_batches
+from subpanel.llm.common import map_arrow, prepare, small_batches, written
 from subpanel.llm.quality import fit_linear
 
 ORDERS = (3, 4, 5, 6)
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, floa
             out.append(np.packbits(mark[:-1]).tobytes())
         return pd.Series(out, dtype=object)
 
-    sample = drawn.select("toxic", own(F.col("text")).alias("x")).orderBy("toxic", "x").collect()
+    sample = sorted(drawn.select("toxic", own(F.col("text")).alias("x")).collect(), key=lambda r: (r["toxic"], bytes(r["x"])))
     weights = np.zeros(1 << BITS, np.float32)
     y = np.array([r["toxic"] for r in sample], float)
     if not ratios or len(set(y.tolist())) < 2:
@@ -134,8 +134,11 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, flag_
     """
     prepare(docs.sparkSession)
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    texts = docs.select("doc_id", "text").where(part != 2)
-    labelled = texts.join(labels.select("doc_id", "toxic").where("toxic is not null").distinct(), "doc_id").select("text", "toxic")
+    # Labels are drawn before texts are read, so a bounded table is broadcast and no text is shuffled.
+    known = labels.select("doc_id", "toxic").where(part != 2).where("toxic is not null").distinct()
+    share = min(1.0, fit_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
     weights, b = fit(labelled, fit_rows)
     return docs.withColumns({"held_out": F.coalesce(part == 2, F.lit(False)), "score": score(F.col("text"), weights, b)}).withColumn(
         "predicted", (F.col("score") >= flag_from).cast("int"))
