@@ -66,10 +66,10 @@ class Automaton:
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
-        alone = np.zeros(size, np.int64)
+        alone = np.full(size, len(go), np.int64)  # a symbol not learnt is a phrase: the state after it has no edges
         for c, s in go[0].items():
             alone[c] = s
-        table = np.tile(-alone - 1, (len(go), 1)).astype(np.int32)
+        table = np.tile(-alone - 1, (len(go) + 1, 1)).astype(np.int32)
         for s, edges in enumerate(go):
             table[s, list(edges)] = list(edges.values())
         self.size, self.table = size, table.ravel()

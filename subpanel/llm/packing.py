@@ -160,11 +160,14 @@ class Plan:
 
     def runs(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
         """(token of the document, length, stream position) of the stretches of queue tokens start … start + n."""
-        total = int(self.totals[queue])
-        guess = lambda at: at * self.rounds // total
-        for low in range(max(0, guess(start) - 1), guess(start + n - 1) + 2, 4096):
-            w = np.arange(low, min(low + 4096, guess(start + n - 1) + 2), dtype=self.totals.dtype)
-            w = w[w < self.rounds]
+        total, rounds, kind = int(self.totals[queue]), self.rounds, self.totals.dtype
+        # Token t goes in round ceil((t + 1) * rounds / total) - 1; a small queue skips most rounds.
+        of = lambda t: -(-(t + 1) * rounds // total) - 1
+        first, last = of(start), of(start + n - 1)
+        sparse = last - first >= n
+        for low in range(0, n if sparse else last - first + 1, 4096):
+            some = range(low, min(low + 4096, n if sparse else last - first + 1))
+            w = np.array([of(start + i) for i in some] if sparse else [first + i for i in some], dtype=kind)
             a, b = self.served(w, queue), self.served(w + 1, queue)
             lo, hi = np.maximum(a, start), np.minimum(b, start + n)
             use = np.flatnonzero(hi > lo)

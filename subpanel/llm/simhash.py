@@ -167,7 +167,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_colum
 def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, with all its columns."""
     found = near_duplicates(docs, words, max_bits)
-    stay = found.where("key = first_key").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    kept = keyed.join(stay, F.col("__key") == F.col("key"), "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    stay = found.where("key = first_key").select(F.col("key").alias("__key")).distinct()
+    kept = docs.withColumn("__key", row_key("doc_id", "text")).join(stay, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -51,9 +51,10 @@ def present(text: str | None) -> np.ndarray:
 
 
 def log_count_ratios(labelled: DataFrame) -> dict[int, float]:
-    """The STRONGEST n-gram buckets and their log ratio of smoothed shares of toxic and other documents.
+    """The STRONGEST n-gram buckets for the toxic label and their log ratio of smoothed shares of toxic and other documents.
 
     Counts are of documents, summed in each task before the shuffle. Strength is the ratio times the root of the support.
+    Buckets that speak against the label are not used: a text without any sign of it must score low.
     """
     schema = pa.schema([("gram", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
 
@@ -70,7 +71,7 @@ def log_count_ratios(labelled: DataFrame) -> dict[int, float]:
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("other") + 0.5) / (n.get(0, 0) + 1))
     found = sums.where(f"toxic + other >= {LEAST_DOCS}").withColumn("ratio", ratio).orderBy(
-        F.desc(F.abs("ratio") * F.sqrt(F.least("toxic", F.lit(500)) + 1)), "gram").limit(STRONGEST).collect()
+        F.desc(F.col("ratio") * F.sqrt(F.least("toxic", F.lit(500)) + 1)), "gram").limit(STRONGEST).collect()
     return {r["gram"]: r["ratio"] for r in found}
 
 
@@ -105,7 +106,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, floa
     scale = np.array(list(ratios.values()))
     packed = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.uint8).reshape(len(sample), -1)
     x = np.unpackbits(packed, axis=1, count=len(ratios)).astype(np.float32) * scale.astype(np.float32)
-    w, b = fit_linear(x, y, rounds=150)
+    w, b = fit_linear(x, y, rounds=250)
     weights[list(ratios)] = w * scale
     return weights, b
 
