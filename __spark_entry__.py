@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,15 @@ def q_source_counts(spark, d):
     return reports.advance_source_counts(panel.n4(spark, d))
 
 
+def q_panel_coverage(spark, d):
+    """Rows that the extracts read from each table, which is all of them."""
+    read = {"customer": (panel.n10, len(panel.PANEL_MONTHS)), "lineitem_packages": (panel.n2, 1), "lineitem_advances": (panel.n4, 1),
+            "events": (panel.n3, 1), "orders": (panel.n5, 1)}
+    parts = [extract(spark, d).agg((F.count(F.lit(1)) / times).cast("long").alias("rows_read")).select(
+        F.lit(name).alias("source_table"), "rows_read") for name, (extract, times) in read.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def q_global_quantiles(spark, d):
     found = feat.global_quantiles(stages(spark, d).master())
     # The master decides the row, so that an empty panel gives an empty result.
@@ -492,6 +502,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_ingest": q_csv_ingest,
         "csv_master": q_csv_master,
         "file_inventory": q_file_inventory,
+        "panel_coverage": q_panel_coverage,
     } | ({**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus else {})
 
 

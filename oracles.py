@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 MONTHS = ["202503", "202504", "202505", "202506", "202507", "202508"]
-_MONTH_ROWS = ", ".join(f"('{m}')" for m in MONTHS)
+_MONTH_ROWS = ", ".join(f"('{m}')" for m in ["202502", *MONTHS])
 _NOW, _LATER, _DAY = "TIMESTAMP '2025-08-31 00:00:00'", "TIMESTAMP '2025-09-05 00:00:00'", "DATE '2025-08-31'"
 
 
@@ -17,9 +17,6 @@ def _panel_month(c: str) -> str:
     return f"CAST(202503 + year({c}) - 1996 AS VARCHAR)"
 
 
-def _in_panel(c: str) -> str:
-    return f"{c} >= TIMESTAMP '1996-01-01' AND {c} < TIMESTAMP '2002-01-01'"
-
 
 def _mode(table: str, column: str) -> str:
     return f"""(SELECT isdn, data_month, {column} AS top_value FROM (
@@ -63,24 +60,23 @@ CTES: dict[str, str] = {
     "n5": f"""
         SELECT c_name AS isdn, {_panel_month('o_orderdate')} AS data_month,
                CAST(o_totalprice / 5 AS DECIMAL(18,4)) AS topup_amount, o_orderpriority AS topup_channel
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_in_panel('o_orderdate')}""",
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "lines": f"""
         SELECT l.*, {_panel_month('l_shipdate')} AS data_month, o_custkey, c_name AS isdn
-        FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        WHERE {_in_panel('l_shipdate')}""",
+        FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "n4": """
-        SELECT isdn, data_month, CAST(l_extendedprice AS DECIMAL(18,4)) AS amount,
-               CASE WHEN l_returnflag = 'A' THEN 'ut' ELSE 'hu' END AS source,
+        SELECT p.c_name AS isdn, data_month, CAST(l_extendedprice AS DECIMAL(18,4)) AS amount,
+               CASE l_returnflag WHEN 'A' THEN 'ut' WHEN 'R' THEN 'hu' ELSE 'oth' END AS source,
                CASE l_suppkey % 4 WHEN 0 THEN 'EasyCredit' WHEN 1 THEN 'ungdata247' WHEN 2 THEN 'MBFG' ELSE 'UT_SPLUS' END
                AS advance_service_type
-        FROM lines WHERE l_linenumber = 1 AND l_returnflag IN ('A', 'R') AND o_custkey % 3 = 0""",
+        FROM lines JOIN customer p ON p.c_custkey = greatest(o_custkey - o_custkey % 3, 3)""",
     "n2": """
         SELECT isdn, data_month, p_brand AS package_code, CAST(p_retailprice * 30 AS DECIMAL(18,4)) AS package_price,
                CAST(p_size AS DECIMAL(18,4)) AS package_cycle, CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS renewed_at
-        FROM lines JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2""",
+        FROM lines JOIN part ON l_partkey = p_partkey""",
     "n3": """
-        SELECT c_name AS isdn, CAST(202503 + CAST(floor((day(ts) - 1) / 5.0) AS INTEGER) AS VARCHAR) AS data_month, event_id
-        FROM events JOIN customer ON user_id = c_custkey WHERE day(ts) <= 30""",
+        SELECT c_name AS isdn, CAST(202503 + least(CAST(floor((day(ts) - 1) / 5.0) AS INTEGER), 5) AS VARCHAR) AS data_month, event_id
+        FROM events JOIN customer ON user_id = c_custkey""",
     "n1": """
         SELECT isdn, data_month, sum(CASE WHEN l_returnflag = 'A' THEN v ELSE 0 END) AS arpu_call,
                sum(CASE WHEN l_returnflag = 'R' THEN v ELSE 0 END) AS arpu_sms,
@@ -360,6 +356,8 @@ def with_steps(sql: str) -> str:
             open_steps += [n for n in _needs(CTES[name]) if n != name]
     steps = [f"{n} AS {'MATERIALIZED ' if n in _MATERIALIZED else ''}({CTES[n].strip()})" for n in CTES if n in wanted]
     sql = sql.strip()
+    if not steps:
+        return sql
     # A query with steps of its own continues the list.
     rest = f", {sql[len('WITH '):]}" if sql.startswith("WITH ") else f" {sql}"
     return f"WITH {', '.join(steps)}{rest}"
@@ -472,6 +470,10 @@ FINAL: dict[str, str] = {
     "usage_monthly": "SELECT * FROM usg",
     "arpu_monthly": "SELECT * FROM arpu",
     "subscriber_months": "SELECT * FROM n10",
+    "panel_coverage": """
+        SELECT 'customer' AS source_table, count(*) AS rows_read FROM customer
+        UNION ALL SELECT 'lineitem_packages', count(*) FROM lineitem UNION ALL SELECT 'lineitem_advances', count(*) FROM lineitem
+        UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders""",
     "advance_source_counts": """SELECT count(*) FILTER (source = 'ut') AS advance_records,
         count(*) FILTER (source = 'hu') AS repayment_records, count(DISTINCT isdn) AS subscribers FROM n4""",
     "master": f"SELECT {', '.join(_MASTER_NAMES)}, round(std_topup_amount, 4) AS std_topup_amount FROM master",

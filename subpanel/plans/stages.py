@@ -35,21 +35,22 @@ class Stages:
 
     centroids: cluster by these fixed centroids; None fits K-Means.
     targets: "segments" offers to Group 2, "never_advanced" to all who never advanced.
-    buckets: number of files by subscriber of each stage table; "auto" takes one per 10,000 rows of
-    N10, at most the session's shuffle partitions; None writes plain tables.
+    buckets: number of files by subscriber of each stage table; give about one per 200 MB of
+    the largest table; None writes plain tables.
+    ref_date: day up to which tenure counts, by default the first of `month`.
     """
 
-    ROWS_PER_BUCKET = 10_000
-
     def __init__(self, spark: SparkSession, extracts: Callable[[], Mapping[str, DataFrame]], path: str,
                  month: str = LATEST_MONTH, centroids: Sequence[Mapping[str, float]] | None = None,
                  targets: str = "segments", offer_params: OfferParams = OfferParams(),
                  risk_params: RiskParams = RiskParams(), cluster_params: ClusterParams = ClusterParams(),
-                 day: date | str | None = None, now: datetime | str | None = None, buckets: int | str | None = "auto"):
+                 day: date | str | None = None, now: datetime | str | None = None, buckets: int | None = 8,
+                 ref_date: str | None = None):
         self.spark, self.extracts, self.path, self.month = spark, extracts, path.rstrip("/"), month
         self.centroids, self.target_mode = centroids, targets
         self.offer_params, self.risk_params, self.cluster_params = offer_params, risk_params, cluster_params
         self.day, self.now, self.buckets = day, now, buckets
+        self.ref_date = ref_date or f"{month[:4]}-{month[4:6]}-01"
         self.model: segment.SegmentModel | None = None
         self._done: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
@@ -70,17 +71,13 @@ class Stages:
             return self._done[name]
 
     def _build_master(self) -> DataFrame:
-        extracts = dict(self.extracts())
-        if self.buckets == "auto":
-            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self.buckets = max(1, min(most, extracts["N10"].count() // self.ROWS_PER_BUCKET))
-        return mst.master_of(extracts)
+        return mst.master_of(dict(self.extracts()))
 
     def master(self) -> DataFrame:
         return self.stored("master", self._build_master, ["data_month"], spread=True)
 
     def features(self) -> DataFrame:
-        return self.stored("features", lambda: feat.build_features(self.master()), ["data_month"])
+        return self.stored("features", lambda: feat.build_features(self.master(), self.ref_date), ["data_month"])
 
     def advance_users(self) -> DataFrame:
         return segment.advance_users(self.features())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subpanel.functions.columns import half_even, month_from_name
-from subpanel.schemas import INVENTORY_SOURCES, MONTHS, SOURCE_COLUMNS
+from subpanel.schemas import INVENTORY_SOURCES, SOURCE_COLUMNS
 
 
 # Texts that stand for a missing value in the extracts.
@@ -79,6 +79,13 @@ def _entries(spark: SparkSession, root: str, source: str, months: Sequence[str]
     return [r["entry"] for r in rows if months is None or any(m in r["name"] for m in months)]
 
 
+def months_found(spark: SparkSession, root: str, source: str) -> list[str]:
+    """Months in the names of the source's files or folders."""
+    listed = _listing(spark, root, source)
+    rows = [] if listed is None else listed.select(month_from_name("name").alias("month")).distinct().collect()
+    return sorted(r["month"] for r in rows if r["month"])
+
+
 def with_data_month(df: DataFrame) -> DataFrame:
     """Tag rows with the month in the name of the file or folder they come from."""
     return df.select("*", month_from_name(_name(_entry(F.col("_metadata.file_path")))).alias("data_month"))
@@ -94,12 +101,12 @@ def _header(spark: SparkSession, path: str, on_error: str) -> tuple[str, ...]:
         return ()
 
 
-def read_source(spark: SparkSession, root: str, source: str, months: Sequence[str] | None = tuple(MONTHS),
-                files: Sequence[str] | None = None, on_error: str = "skip",
+def read_source(spark: SparkSession, root: str, source: str, months: Sequence[str] | None = None,
+                files: Sequence[str] | None = None, on_error: str = "fail",
                 ignore_corrupt: bool = False) -> DataFrame:
     """All rows of one source as text columns plus `data_month`.
 
-    An explicit file list replaces the listing and its month filter. Files are grouped by header,
+    All months found are read unless `months` names some. An explicit file list replaces the listing and its month filter. Files are grouped by header,
     each group is one scan, and groups are united by name with nulls for absent columns. With
     on_error="skip" files that cannot be opened are reported and left out; with "fail" they raise.
     A file that breaks off while it is read (a cut archive, say) raises unless `ignore_corrupt`,
@@ -129,8 +136,8 @@ def read_source(spark: SparkSession, root: str, source: str, months: Sequence[st
     return out
 
 
-def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None = tuple(MONTHS),
-                  files: dict[str, Sequence[str]] | None = None, on_error: str = "skip") -> dict[str, DataFrame]:
+def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None = None,
+                  files: dict[str, Sequence[str]] | None = None, on_error: str = "fail") -> dict[str, DataFrame]:
     """The six extracts; a source without files is left out, so that its columns stay absent."""
     out = {}
     for source in SOURCE_COLUMNS:
