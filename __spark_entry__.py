@@ -130,7 +130,7 @@ def q_segmentation_summary(spark, d):
 
 
 def q_cluster_profiles(spark, d):
-    return rounded(segment.cluster_profiles(stages(spark, d).segments()), "center", "overall_mean")
+    return rounded(segment.cluster_profiles(stages(spark, d).segments()), "center", "overall_mean", digits=2)
 
 
 # --- offers and risk ------------------------------------------------------------------------

@@ -512,7 +512,7 @@ FINAL: dict[str, str] = {
     "phase3a_summary": """SELECT count(*) AS total_subscribers, count(DISTINCT cluster) AS num_clusters,
         count(*) FILTER (contains(segment, 'GROUP_2')) AS expansion_target FROM seg""",
     "expansion_targets": "SELECT isdn, cluster, segment FROM seg WHERE segment IN ('GROUP_2_SIMILAR', 'GROUP_2_MEDIUM')",
-    "cluster_profiles": "SELECT cluster, rank, feature, round(center, 4) AS center, round(overall_mean, 4) AS overall_mean FROM ("
+    "cluster_profiles": "SELECT cluster, rank, feature, round(center, 2) AS center, round(overall_mean, 2) AS overall_mean FROM ("
         "SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY center DESC, feature) AS rank FROM ("
         + " UNION ALL ".join(f"""SELECT cluster, '{f}' AS feature, avg({f}) AS center, (SELECT avg({f}) FROM seg) AS overall_mean
                                  FROM seg GROUP BY cluster""" for f in CLUSTER_FEATURES) + ")) WHERE rank <= 5",

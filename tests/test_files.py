@@ -24,8 +24,9 @@ def root(tmp_path):
 
 
 def test_files_with_differing_headers(spark, root):
-    df = files.read_source(spark, root, "N5")
+    df = files.read_source(spark, root, "N5")      # all months found
     assert values(df, "isdn", "topup_amount", "topup_channel", "data_month") == sorted([
+        ("old", "1", "x", "202502"),
         ("a", "10", "x", "202503"), ("b", None, "y", "202503"), ("a", "20", "z", "202504"), ("c", "30", None, "202505")], key=repr)
 
 
@@ -34,6 +35,11 @@ def test_month_filter(spark, root):
     assert files.read_source(spark, root, "N5", None).count() == 5
 
 
+def test_months_found(spark, root):
+    assert files.months_found(spark, root, "N5") == ["202502", "202503", "202504", "202505"]
+    assert files.months_found(spark, root, "N4") == []
+
+
 def test_explicit_files_skip_the_month_filter(spark, root):
     df = files.read_source(spark, root, "N5", files=[f"{root}/N5/N5_202502.csv"])
     assert values(df, "isdn", "data_month") == [("old", "202502")]
@@ -50,10 +56,10 @@ def test_unreadable_file_is_reported_and_skipped(spark, root):
     chosen = [f"{root}/N5/N5_202503.csv", f"{root}/N5/N5_209901.csv"]
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
-        assert files.read_source(spark, root, "N5", files=chosen).count() == 2
+        assert files.read_source(spark, root, "N5", files=chosen, on_error="skip").count() == 2
     assert any("N5_209901" in str(w.message) for w in seen)
     with pytest.raises(Exception, match="N5_209901"):
-        files.read_source(spark, root, "N5", files=chosen, on_error="fail")
+        files.read_source(spark, root, "N5", files=chosen)
 
 
 def test_empty_source(spark, root):

@@ -79,7 +79,7 @@ def test_full_master(stages, sf_dir, spark):
     assert df.columns and set(df.columns) == set(MASTER_COLUMNS)
     assert len(MASTER_COLUMNS) == 34
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    assert df.count() == customers * 6 == df.select("isdn", "data_month").distinct().count()
+    assert df.count() == customers * 7 == df.select("isdn", "data_month").distinct().count()
 
 
 def test_dedup_months_counts_a_key_once(spark):

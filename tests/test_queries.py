@@ -22,8 +22,13 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def own_queries() -> dict:
+    """Queries of the panel; those of the training-data operators have tests of their own."""
+    return {k: q for k, q in entry.queries().items() if k != "pipeline" and not re.match(r"op\d+_", k)}
+
+
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(SQLS) == ROWS_ONLY and set(SQLS) <= set(entry.queries())
+    assert set(own_queries()) - set(SQLS) == ROWS_ONLY and set(SQLS) <= set(entry.queries())
 
 
 # At the smallest scale two lists may be empty: no free service reaches the campaign list.
@@ -67,7 +72,7 @@ def plan(df) -> str:
 
 
 def test_no_python_and_no_cross_join_in_any_plan(spark, sf_dir):
-    for name, query in entry.queries().items():
+    for name, query in own_queries().items():
         if name == "kmeans_segments":
             continue
         text = plan(query(spark, sf_dir))
@@ -128,9 +133,10 @@ def test_offers_read_one_month_of_the_feature_table(spark, sf_dir):
     assert re.search(r"PartitionFilters: \[[^\]]*data_month[^\]]*202508", plan(entry.q_offers(spark, sf_dir)))
 
 
-def test_date_range_reaches_the_scan(spark, sf_dir):
+def test_scan_reads_the_needed_columns_of_all_rows(spark, sf_dir):
     from subpanel.sources import panel
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan(panel.n5(spark, sf_dir)))
+    text = plan(panel.n5(spark, sf_dir))
+    assert "o_orderdate" in text and "o_orderstatus" not in text and "GreaterThan" not in text
 
 
 def test_histogram_counts_add_up(stages):

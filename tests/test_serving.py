@@ -76,7 +76,7 @@ def test_profile_document_json(stages):
     doc = serving.profile_documents(stages.profiles(), stages.monthly(), "2025-08-31").first()
     basic, months = json.loads(doc.fields["basic"]), json.loads(doc.fields["monthly_arpu"])
     assert f"profile:{basic['isdn']}" == doc.key
-    assert [m["month"] for m in months] == sorted(m["month"] for m in months) and len(months) == 6
+    assert [m["month"] for m in months] == sorted(m["month"] for m in months) and len(months) == 7
     assert set(json.loads(doc.fields["arpu_stats"])) == {"avg", "std", "min", "max", "growth_rate", "trend"}
     assert json.loads(doc.fields["risk_assessment"])["factors"] == []
 
