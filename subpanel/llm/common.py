@@ -36,8 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`work` over the partitions; a worker that is done gives free Arrow memory back, since later stages reuse it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
     prepare(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(run, schema)
 
 
 def row_key(id_column: str, text_column: str) -> Column:
