@@ -28,8 +28,9 @@ MARKS = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar ad ads ad
             "social related recommended recommendations newsletter subscribe subscription signup login footer pagination pager widget masthead".split())
 OWN_MARKS = {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "sponsored", "related"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-MAIN_BONUS, CLIMB = 1.5, 0.7
-LEAST_SHARE = 0.3
+CLIMB = 0.7
+#: Shares of a page's text: of an article or main element that counts, and of another container that may stand for the article.
+LEAST_SHARE, NEARLY_ALL = 0.3, 0.95
 MAX_BROADCAST_HOSTS = 50_000
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "td", "main"}
@@ -121,44 +122,83 @@ class Page(HTMLParser):
         if self.open_links:
             self.linked += len(data.strip())
 
-    def kept(self) -> list[list]:
-        """Blocks without lists that hold links alone."""
-        lists: dict[int, list[int]] = {}
-        for block in self.blocks:
-            node = block[0]
+    def link_lists(self) -> dict[int, list[int]]:
+        """List → places of its blocks, for lists of three items or more that hold links alone."""
+        lists: dict[int, list] = {}
+        for i, (node, text, linked) in enumerate(self.blocks):
             while node > 0 and self.nodes[node][0] not in ("ul", "ol"):
                 node = self.nodes[node][2]
             if node > 0:
-                tally = lists.setdefault(node, [0, 0, 0])
-                tally[0], tally[1], tally[2] = tally[0] + 1, tally[1] + block[2], tally[2] + len(block[1])
-                block.append(node)
-        menus = {n for n, (items, linked, chars) in lists.items() if items >= 3 and linked >= 0.8 * chars}
-        return [b for b in self.blocks if len(b) < 4 or b[3] not in menus]
-
-    def scores(self) -> dict[int, float]:
-        """Container → score: own text outside links, and a share of the containers' inside."""
+                lists.setdefault(node, []).append((i, linked, len(text)))
+        return {n: [i for i, *_ in items] for n, items in lists.items()
+                if len(items) >= 3 and sum(x[1] for x in items) >= 0.8 * sum(x[2] for x in items)}
+
+    def scores(self) -> tuple[dict[int, float], dict[int, int]]:
+        """Container → score (own text outside links, and a share of the containers' inside) and → all its text outside links."""
+        alone = {i for places in self.link_lists().values() for i in places}
         found: dict[int, float] = {}
-        for node, text, linked, *_ in self.kept():
+        for i, (node, text, linked) in enumerate(self.blocks):
+            if i in alone and len(alone) < len(self.blocks):
+                continue
             while node > 0 and self.nodes[node][0] not in CONTAINERS:
                 node = self.nodes[node][2]
             found[max(node, 0)] = found.get(max(node, 0), 0) + max(1, len(text) - linked)
+        inner = dict(found)
         for node in range(len(self.nodes) - 1, 0, -1):  # children come after their parents
             if node in found:
                 above = self.nodes[node][2]
                 while above > 0 and self.nodes[above][0] not in CONTAINERS:
                     above = self.nodes[above][2]
                 found[max(above, 0)] = found.get(max(above, 0), 0) + CLIMB * found[node]
-        first_main = {n for n in found if self.nodes[n][4] and not self.nodes[self.nodes[n][2]][4]}
-        return {n: s * (MAIN_BONUS if n in first_main else 1) for n, s in found.items()}
-
-    def text(self, container: int) -> str:
-        lines = []
-        for node, text, *_ in self.kept():
-            while node > container:
+                inner[max(above, 0)] = inner.get(max(above, 0), 0) + inner[node]
+        return found, inner
+
+    def candidates(self) -> dict[str, tuple[list[int], float]]:
+        """Path → containers that hold the article together, and their score.
+
+        The largest article or main element is the article whole, with its like beside it. Without one that holds a fair
+        part of the page, any container that holds nearly all text stands for it.
+        """
+        found, inner = self.scores()
+        if not found:
+            return {}
+        mains = [n for n in found if self.nodes[n][4] and not self.nodes[self.nodes[n][2]][4]]
+        if mains:
+            first = max(mains, key=lambda n: (inner[n], -n))
+            tag, path, parent = self.nodes[first][:3]
+            like = sorted(n for n in mains if self.nodes[n][1] == path or (self.nodes[n][0], self.nodes[n][2]) == (tag, parent))
+            if sum(inner[n] for n in like) >= LEAST_SHARE * inner[0]:
+                return {path: (like, sum(found[n] for n in like))}
+        return {self.nodes[n][1]: ([n], found[n]) for n in found if inner[n] >= NEARLY_ALL * inner[0]}
+
+    def text(self, containers: list[int]) -> str:
+        """Blocks of the containers, after the headline if that stands before them.
+
+        Lists of links are text like any other there, but outside article and main a list before the headline is a menu.
+        """
+        last = containers[-1]
+
+        def inside(node: int) -> bool:
+            while node > last or (node > 0 and node not in containers):
                 node = self.nodes[node][2]
-            if node == container:
-                lines.append(text)
-        return "\n".join(lines)
+            return node in containers
+
+        held = [i for i, (node, *_) in enumerate(self.blocks) if inside(node)]
+        lists = self.link_lists()
+        if not self.nodes[containers[0]][4] and held:
+            listed = {i for places in lists.values() for i in places}
+            heads = [[i for i in held if self.blocks[i][0] > 0 and self.nodes[self.blocks[i][0]][0] == h] for h in ("h1", "h2")]
+            start = next((h[0] for h in heads if h), next((i for i in held if i not in listed), 0))
+            menus = {i for places in lists.values() if places[-1] < start for i in places}
+            held = [i for i in held if i not in menus]
+        if held:
+            tags = [self.nodes[node][0] for node, *_ in self.blocks]
+            if "h1" not in {tags[i] for i in held}:
+                wanted = "h1" if "h1" in tags else "h2"
+                before = [i for i in range(held[0]) if tags[i] == wanted and i not in held]
+                if before and (wanted == "h1" or "h2" not in {tags[i] for i in held}):
+                    held.insert(0, before[-1])
+        return "\n".join(self.blocks[i][1] for i in held)
 
 
 def host_of(url: str | None) -> str:
@@ -169,30 +209,20 @@ def host_of(url: str | None) -> str:
 
 
 def votes(html: str | None) -> list[tuple[str, float]]:
-    """Path → share of the page's score, over its containers."""
-    page = Page(html or "")
-    found = page.scores()
-    total = sum(found.values())
-    out: dict[str, float] = {}
-    for node, s in found.items():
-        out[page.nodes[node][1]] = out.get(page.nodes[node][1], 0) + s / total
-    return sorted(out.items())
+    """Path → share of the page's score, over the paths that hold its article."""
+    found = Page(html or "").candidates()
+    total = sum(score for _, score in found.values())
+    return sorted((path, score / total) for path, (_, score) in found.items())
 
 
 def main_text(html: str | None, paths: list[str]) -> str:
-    """Text of the best container on the first of the host's paths that the page has, if it holds a fair part of it."""
+    """Text of the article's containers on the first of the host's paths that hold it on this page, else on the page's best path."""
     page = Page(html or "")
-    found = page.scores()
+    found = page.candidates()
     if not found:
         return ""
-    best = max(found, key=lambda n: (found[n], -n))
-    for path in paths:
-        there = [n for n in found if page.nodes[n][1] == path]
-        if there:
-            pick = max(there, key=lambda n: (found[n], -n))
-            if found[pick] >= LEAST_SHARE * found[best]:
-                return page.text(pick)
-    return page.text(best)
+    path = next((p for p in paths if p in found), None)
+    return page.text(found[max(found, key=lambda p: found[p][1]) if path is None else path][0])
 
 
 def host_paths(pages: DataFrame, most: int = 3) -> DataFrame:

@@ -274,3 +274,18 @@ def test_neighbours_of_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)] + [(100, [2.0, 4.0])], "vec_id long, embedding array<double>")
     rows = neighbours.search(df).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in rows] == [100, *range(1, 20)] and rows[0]["score"] == 10.0
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+@pytest.mark.parametrize("shape", ["<div class=content>{h}{s}</div>", "<div class=wrap>{h}<div class=body>{s}</div></div>",
+                                   "<article>{h}<div class=body>{s}</div></article>", "{h}<article><div class=body>{s}</div></article>",
+                                   "<div class=w><div class=w2>{h}<div class=a>{s}</div></div></div>"])
+def test_extraction_of_split_articles(n, shape):
+    parts = [f"part {i} " + "word " * 200 for i in range(n)]
+    for tags in ("<section>{}</section>", "<div class=in><div><p>{}</p></div></div>"):
+        page = "<html><body><nav>menu</nav>" + shape.format(h="<h1>Headline</h1>", s="".join(tags.format(p) for p in parts)) + "<footer>end</footer></body></html>"
+        whole = "\n".join(["Headline", *(p.strip() for p in parts)])
+        paths = [p for p, _ in sorted(extraction.votes(page), key=lambda v: -v[1])]
+        assert extraction.main_text(page, paths) == whole and extraction.main_text(page, []) == whole
+        one = page.replace("".join(tags.format(p) for p in parts[1:]), "")  # paths won by pages of one part
+        assert extraction.main_text(page, [p for p, _ in sorted(extraction.votes(one), key=lambda v: -v[1])]) == whole
