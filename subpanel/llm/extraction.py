@@ -20,6 +20,7 @@ BLOCKS = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table the
              "aside nav figure figcaption form fieldset hr address details summary body html head center dialog menu".split())
 CONTAINERS = set("body div section article main td center".split())
 SKIPPED = set("nav aside footer form script style noscript template iframe button select textarea svg object head dialog menu title option".split())
+IN_HEAD = set("title meta link base style script noscript template".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of class names and ids that mark what is not the article.
@@ -57,7 +58,16 @@ class Page(HTMLParser):
                 self.blocks.append([self.stack[-1], text, self.linked])
             self.parts, self.linked = [], 0
 
+    def close_head(self, body: bool) -> None:
+        """End a head left open: at a body wherever it is, else where the head itself is the innermost element."""
+        place = next((i for i in self.stack if self.nodes[i][0] == "head"), 0)
+        if place and (body or place == self.stack[-1]):
+            self.flush()
+            del self.stack[self.stack.index(place):]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.close_head(tag == "body")
         if tag == "a":
             self.open_links += 1
         if tag == "br":
@@ -118,6 +128,8 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.close_head(False)
         self.parts.append(data)
         if self.open_links:
             self.linked += len(data.strip())

@@ -289,3 +289,24 @@ def test_extraction_of_split_articles(n, shape):
         assert extraction.main_text(page, paths) == whole and extraction.main_text(page, []) == whole
         one = page.replace("".join(tags.format(p) for p in parts[1:]), "")  # paths won by pages of one part
         assert extraction.main_text(page, [p for p, _ in sorted(extraction.votes(one), key=lambda v: -v[1])]) == whole
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8><script>var a</script><body>", "<head><title>T</title>",
+                                  "<head><title>T</title></head><body>", "<head><style>p {}</style><noscript><link href=x></noscript><body>"])
+def test_extraction_with_open_head(head):
+    page = f"<html>{head}<p>First <b>text</b>.</p><p>Second.</p></body></html>"
+    assert extraction.main_text(page, []) == "First text.\nSecond."
+    assert extraction.main_text("<head><title>T</title><b>Bold</b> start.<p>Then.", []) == "Bold start.\nThen."
+    assert extraction.main_text("<head><title>T</title>Plain start.", []) == "Plain start."
+
+
+def test_extraction_keeps_link_lists_of_the_article():
+    items = [f"Linked name {i}" for i in range(6)]
+    links = "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in items) + "</ul>"
+    text = "<h1>Headline</h1><p>" + "word " * 60 + "</p>"
+    whole = "\n".join(["Headline", ("word " * 60).strip(), *items])
+    for page in (f"<article>{text}{links}</article>", f"<body><div class=content>{text}{links}</div>", f"<body>{text}{links}",
+                 f"<body><ul class=menu>{links[4:]}<div class=content>{text}{links}</div>", f"<body><div><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul></div><div class=content>{text}{links}</div>",
+                 f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul>{text}{links}",
+                 f"<main>{text}<div class=refs>{links}</div></main>"):
+        assert extraction.main_text(page, []) == whole
