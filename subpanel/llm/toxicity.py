@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from subpanel.llm.common import map_arrow, prepare, small_batches, written
-from subpanel.llm.quality import fit_linear
 
 ORDERS = (3, 4, 5, 6)
-BITS = 18
+BITS = 22
 FIT_ROWS = 20_000
-STRONGEST = 2048
-LEAST_DOCS = 4
+#: Weight of the smoothing, in documents that are dealt to the labels by their shares: a bucket never seen has ratio 0.
+SMOOTH = 1.0
+UPDATES, BATCH, STEP = 1000, 64, 16.0
 FLAG_FROM = 0.3
 _SHIFT = 97  # share of hash space between the n-gram orders
 
@@ -43,86 +43,136 @@ def grams(text: str | None, orders: tuple[int, ...] = ORDERS) -> Iterator[np.nda
 
 
 def present(text: str | None) -> np.ndarray:
-    """Distinct hashed n-grams of the whole text."""
-    mark = np.zeros(1 << BITS, bool)
-    for g in grams(text):
-        mark[g] = True
-    return np.flatnonzero(mark)
+    """Distinct hashed n-grams of the whole text, in order."""
+    found = [g.astype(np.int32) for g in grams(text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
-def log_count_ratios(labelled: DataFrame) -> dict[int, float]:
-    """The STRONGEST n-gram buckets for the toxic label and their log ratio of smoothed shares of toxic and other documents.
+def packed(marks: np.ndarray) -> bytes:
+    """Ordered buckets as steps of 16 bits; 65535 carries on to the next step."""
+    steps = np.diff(marks, prepend=0)
+    far = steps // 65535
+    out = np.full(len(steps) + int(far.sum()), 65535, "<u2")
+    out[np.arange(len(steps)) + np.cumsum(far)] = steps % 65535
+    return out.tobytes()
 
-    Counts are of documents, summed in each task before the shuffle. Strength is the ratio times the root of the support.
-    Buckets that speak against the label are not used: a text without any sign of it must score low.
-    """
-    schema = pa.schema([("gram", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u2")
+    return np.cumsum(steps, dtype=np.int32)[steps != 65535]
+
+
+def document_counts(labelled: DataFrame) -> np.ndarray:
+    """Toxic (row 0) and other (row 1) documents of each bucket, over all rows; summed in each task before the shuffle."""
+    schema = pa.schema([("gram", pa.int32()), ("toxic", pa.int32()), ("other", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), np.int64)
+        counts = np.zeros((2, 1 << BITS), np.int32)
         for batch in small_batches(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[0 if toxic else 1, present(text)] += 1
-        used = np.flatnonzero(counts.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[0, used]), pa.array(counts[1, used])], schema=schema)
+        used = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+        for i in range(0, len(used), 1 << 16):
+            some = used[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], schema=schema)
+
+    sums = map_arrow(labelled.select("text", "toxic"), run, "gram int, toxic int, other int").groupBy("gram").agg(
+        F.sum("toxic").cast("float").alias("toxic"), F.sum("other").cast("float").alias("other")).toArrow()
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    for row, name in enumerate(("toxic", "other")):
+        counts[row, sums.column("gram").to_numpy()] = sums.column(name).to_numpy()
+    return counts
+
+
+def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
+    """Log ratio of the smoothed shares of toxic and other documents, of either sign."""
+    part = SMOOTH * n_toxic / (n_toxic + n_other)
+    return np.log((toxic + part) * (n_other / n_toxic) / (other + (SMOOTH - part))).astype(np.float32)
+
 
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sums = map_arrow(labelled.select("text", "toxic"), run, "gram int, toxic long, other long").groupBy("gram").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    ratio = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("other") + 0.5) / (n.get(0, 0) + 1))
-    found = sums.where(f"toxic + other >= {LEAST_DOCS}").withColumn("ratio", ratio).orderBy(
-        F.desc(F.col("ratio") * F.sqrt(F.least("toxic", F.lit(500)) + 1)), "gram").limit(STRONGEST).collect()
-    return {r["gram"]: r["ratio"] for r in found}
+def length_of(x: np.ndarray) -> float:
+    return float(np.sqrt(1 + np.dot(x, x)))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Weight of each bucket (its ratio times the classifier's coefficient, 0 if not chosen) and the intercept.
+def fit_rows_of(sample: list[tuple[int, bytes]], counts: np.ndarray, n_toxic: int, n_other: int) -> tuple[np.ndarray, float]:
+    """Coefficient of each bucket and intercept of a logistic classifier on scaled vectors of length at most 1.
 
-    `labelled` has text and toxic (0 or 1); rows with nulls are left out. About `fit_rows` of them, drawn by a hash of
-    the text, are used; each draws its whole text. Without rows of both classes every weight is 0.
+    A document's own count is taken out of the ratios of its row, else rare buckets would seem to tell all. The
+    coefficients are one shared by all buckets, also those outside the sample, and an own addition to it each.
     """
-    rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, fit_rows / max(1, total)) * (1 << 20)))
-    ratios = log_count_ratios(drawn)
-    chosen = np.full(1 << BITS, -1, np.int32)
-    chosen[list(ratios)] = np.arange(len(ratios))
+    without = [log_count_ratios(np.maximum(counts[0] - y, 0), np.maximum(counts[1] - (1 - y), 0), n_toxic - y, n_other - (1 - y))
+               for y in (0, 1)]
+
+    def row(y: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        marks = unpacked(data)
+        x = without[y][marks]
+        return marks, x / np.float32(length_of(x))
+
+    y = np.array([t for t, _ in sample], float)
+    sums = np.array([row(t, data)[1].sum() for t, data in sample], float)
+    shared, b = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    for _ in range(30):  # Newton steps for the shared coefficient and the intercept
+        at = 1 / (1 + np.exp(-np.clip(shared * sums + b, -30, 30)))
+        v, error = at * (1 - at), at - y
+        h = np.array([[(v * sums * sums).sum() + 1, (v * sums).sum()], [(v * sums).sum(), v.sum() + 1e-3]])
+        step = np.linalg.solve(h, np.array([(error * sums).sum() + shared, error.sum()]))
+        shared, b = shared - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
+    own = np.zeros(counts.shape[1], np.float32)
+    order, rounds = np.random.default_rng(8), max(1, -(-len(sample) // BATCH))
+    for _ in range(max(3, -(-UPDATES // rounds))):
+        turn = order.permutation(len(sample))
+        for i in range(0, len(turn), BATCH):
+            some = turn[i:i + BATCH]
+            rows = [row(*sample[k]) for k in some]
+            marks, x = np.concatenate([m for m, _ in rows]), np.concatenate([x for _, x in rows])
+            doc = np.repeat(np.arange(len(some)), [len(m) for m, _ in rows])
+            total = np.bincount(doc, x * (own[marks] + shared), minlength=len(some)) + b
+            error = 1 / (1 + np.exp(-np.clip(total, -30, 30))) - y[some]
+            np.add.at(own, marks, (error * (-STEP / len(some))).astype(np.float32)[doc] * x)
+            b -= STEP / len(some) * error.sum() / 10
+    return own + np.float32(shared), b
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ratio and coefficient of each bucket and the intercept.
+
+    `labelled` has text and toxic (0 or 1) and may have doc_id; rows with nulls are left out. The counts are of all
+    rows; the coefficients are fitted to about `fit_rows` of them, drawn by a hash of id and text, each with its whole
+    text. Without rows of both classes every ratio is 0.
+    """
+    names = [c for c in ("doc_id", "text") if c in labelled.columns]
+    rows = labelled.where("text is not null and toxic is not null").select(*names, F.col("toxic").cast("int").alias("toxic"))
+    n = {bool(r["toxic"]): r["n"] for r in rows.groupBy(F.expr("toxic <> 0").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_other = n.get(True, 0), n.get(False, 0)
+    none = np.zeros(1 << BITS, np.float32)
+    if not n_toxic or not n_other:
+        return none, none, float(np.log((n_toxic + 0.5) / (n_other + 0.5))) if n else 0.0
+    counts = document_counts(rows)
 
     @pandas_udf("binary")
-    def own(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            mark = np.zeros(len(ratios) + 1, bool)
-            for g in grams(t):
-                mark[chosen[g]] = True
-            out.append(np.packbits(mark[:-1]).tobytes())
-        return pd.Series(out, dtype=object)
-
-    sample = sorted(drawn.select("toxic", own(F.col("text")).alias("x")).collect(), key=lambda r: (r["toxic"], bytes(r["x"])))
-    weights = np.zeros(1 << BITS, np.float32)
-    y = np.array([r["toxic"] for r in sample], float)
-    if not ratios or len(set(y.tolist())) < 2:
-        return weights, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
-    scale = np.array(list(ratios.values()))
-    packed = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.uint8).reshape(len(sample), -1)
-    x = np.unpackbits(packed, axis=1, count=len(ratios)).astype(np.float32) * scale.astype(np.float32)
-    w, b = fit_linear(x, y, rounds=250)
-    weights[list(ratios)] = w * scale
-    return weights, b
-
-
-def score(text: Column, weights: np.ndarray, b: float) -> Column:
-    """Probability of the toxic label for a whole text; an empty or null text has the intercept's."""
-    used = weights != 0
+    def marks(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed(present(t)) for t in texts], dtype=object)
+
+    drawn = rows.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(min(1.0, fit_rows / (n_toxic + n_other)) * (1 << 20)))
+    sample = drawn.select(F.expr("int(toxic <> 0)").alias("toxic"), marks(F.col("text")).alias("x")).toArrow()
+    sample = sorted(zip(sample.column("toxic").to_pylist(), sample.column("x").to_pylist()))
+    ratios = log_count_ratios(counts[0], counts[1], n_toxic, n_other)
+    if not sample:
+        return ratios, none + 1, float(np.log(n_toxic / n_other))
+    return ratios, *fit_rows_of(sample, counts, n_toxic, n_other)
+
 
+def points(text: str | None, ratios: np.ndarray, weights: np.ndarray, b: float) -> float:
+    marks = present(text)
+    x = ratios[marks]
+    return float(1 / (1 + np.exp(-np.clip(np.dot(x, weights[marks]) / length_of(x) + b, -30, 30))))
+
+
+def score(text: Column, ratios: np.ndarray, weights: np.ndarray, b: float) -> Column:
+    """Probability of the toxic label for a whole text; an empty or null text has the intercept's."""
     @pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            hits = [g[used[g]] for g in grams(t)]
-            total = weights[np.unique(np.concatenate(hits))].sum() if hits else 0.0
-            out.append(float(1 / (1 + np.exp(-np.clip(total + b, -30, 30)))))
-        return pd.Series(out)
+        return pd.Series([points(t, ratios, weights, b) for t in texts], dtype=float)
     return run(text)
 
 
@@ -135,11 +185,9 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, flag_
     """
     prepare(docs.sparkSession)
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    # Labels are drawn before texts are read, so a bounded table is broadcast and no text is shuffled.
+    # All labelled texts are counted; how they meet their labels is left to Spark's size statistics.
     known = labels.select("doc_id", "toxic").where(part != 2).where("toxic is not null").distinct()
-    share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
-    weights, b = fit(labelled, fit_rows)
-    return docs.withColumns({"held_out": F.coalesce(part == 2, F.lit(False)), "score": score(F.col("text"), weights, b)}).withColumn(
+    labelled = written(docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    ratios, weights, b = fit(labelled, fit_rows)
+    return docs.withColumns({"held_out": F.coalesce(part == 2, F.lit(False)), "score": score(F.col("text"), ratios, weights, b)}).withColumn(
         "predicted", (F.col("score") >= flag_from).cast("int"))

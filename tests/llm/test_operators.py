@@ -310,3 +310,28 @@ def test_extraction_keeps_link_lists_of_the_article():
                  f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul>{text}{links}",
                  f"<main>{text}<div class=refs>{links}</div></main>"):
         assert extraction.main_text(page, []) == whole
+
+
+def test_toxicity_of_large_vocabulary(spark):
+    pick = np.random.default_rng(3)
+    words = ["".join(pick.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(5000)]
+    bad, good = words[:3000], words[3000:]
+    rows = []
+    for i in range(4000):
+        clean = pick.choice(good, 30).tolist()
+        rows.append((i, " ".join(clean[:15] + (pick.choice(bad, 6).tolist() if i % 4 == 0 else []) + clean[15:]), int(i % 4 == 0)))
+    rows.append((-1, " ".join(pick.choice(good, 16_000)), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = toxicity.classify(docs.drop("toxic"), docs.where("doc_id >= 0").drop("text")).join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in found if r["held_out"] and r["doc_id"] >= 0]
+    assert np.mean([r["predicted"] for r in held if r["toxic"]]) >= 0.95 and np.mean([r["predicted"] for r in held if not r["toxic"]]) <= 0.05
+    assert next(r for r in found if r["doc_id"] == -1)["predicted"] == 0
+
+
+def test_toxicity_marks_and_ratios():
+    marks = toxicity.present("Some text of words " * 3 + LONG[:5000])
+    assert (toxicity.unpacked(toxicity.packed(marks)) == marks).all() and len(toxicity.unpacked(toxicity.packed(toxicity.present("")))) == 0
+    wide = np.array([0, 65534, 65535, 131070, 262140, (1 << 22) - 1])
+    assert toxicity.unpacked(toxicity.packed(wide)).tolist() == wide.tolist()
+    ratio = toxicity.log_count_ratios(np.array([0, 1, 0, 5]), np.array([0, 0, 1, 5]), 10, 90)
+    assert ratio[0] == 0 and ratio[1] > 0 > ratio[2] and ratio[3] > 0
