@@ -87,32 +87,32 @@ def _fields(*specs: tuple[str, str, bool]) -> T.StructType:
     return T.StructType([T.StructField(name, _type(kind), nullable) for name, kind, nullable in specs])
 
 
-# Declared columns and types of the serving tables.
+# Declared columns of the serving tables; their types hold any count or amount that is computed.
 SERVING_RECOMMENDATIONS = _fields(
     ("isdn", "string", False),
     ("subscriber_type", "string", False),
     ("service_type", "string", False),
-    ("advance_amount", "decimal(12,2)", False),
-    ("revenue_per_advance", "decimal(12,2)", False),
+    ("advance_amount", "decimal(22,2)", False),
+    ("revenue_per_advance", "decimal(22,2)", False),
     ("cluster_group", "int", True),
     ("bad_debt_risk", "string", False),
-    ("arpu_avg_6m", "decimal(10,2)", True),
-    ("arpu_std_6m", "decimal(10,2)", True),
-    ("arpu_min_6m", "decimal(10,2)", True),
-    ("arpu_max_6m", "decimal(10,2)", True),
-    ("arpu_growth_rate", "decimal(10,2)", True),
+    ("arpu_avg_6m", "decimal(22,2)", True),
+    ("arpu_std_6m", "decimal(22,2)", True),
+    ("arpu_min_6m", "decimal(22,2)", True),
+    ("arpu_max_6m", "decimal(22,2)", True),
+    ("arpu_growth_rate", "decimal(22,2)", True),
     ("arpu_trend", "string", True),
-    ("revenue_call_pct", "decimal(5,2)", True),
-    ("revenue_sms_pct", "decimal(5,2)", True),
-    ("revenue_data_pct", "decimal(5,2)", True),
+    ("revenue_call_pct", "decimal(22,2)", True),
+    ("revenue_sms_pct", "decimal(22,2)", True),
+    ("revenue_data_pct", "decimal(22,2)", True),
     ("user_type", "string", True),
-    ("topup_frequency", "decimal(5,2)", True),
-    ("topup_avg_amount", "decimal(10,2)", True),
-    ("topup_advance_ratio", "decimal(10,4)", True),
+    ("topup_frequency", "decimal(22,2)", True),
+    ("topup_avg_amount", "decimal(22,2)", True),
+    ("topup_advance_ratio", "decimal(24,4)", True),
     ("topup_frequency_class", "string", True),
-    ("customer_value_score", "decimal(5,2)", True),
-    ("advance_readiness_score", "decimal(5,2)", True),
-    ("priority_score", "decimal(10,2)", True),
+    ("customer_value_score", "decimal(22,2)", True),
+    ("advance_readiness_score", "decimal(22,2)", True),
+    ("priority_score", "decimal(22,2)", True),
     ("recommendation_date", "date", False),
     ("created_at", "timestamp", True),
     ("updated_at", "timestamp", True),
@@ -122,31 +122,31 @@ SERVING_PROFILES = _fields(
     ("isdn", "string", False),
     ("subscriber_type", "string", False),
     ("service_type", "string", True),
-    ("advance_amount", "decimal(12,2)", True),
-    ("revenue_per_advance", "decimal(12,2)", True),
-    ("arpu_avg_6m", "decimal(10,2)", True),
-    ("arpu_std_6m", "decimal(10,2)", True),
-    ("arpu_min_6m", "decimal(10,2)", True),
-    ("arpu_max_6m", "decimal(10,2)", True),
-    ("arpu_first_month", "decimal(10,2)", True),
-    ("arpu_last_month", "decimal(10,2)", True),
-    ("arpu_growth_rate", "decimal(10,2)", True),
+    ("advance_amount", "decimal(22,2)", True),
+    ("revenue_per_advance", "decimal(22,2)", True),
+    ("arpu_avg_6m", "decimal(22,2)", True),
+    ("arpu_std_6m", "decimal(22,2)", True),
+    ("arpu_min_6m", "decimal(22,2)", True),
+    ("arpu_max_6m", "decimal(22,2)", True),
+    ("arpu_first_month", "decimal(22,2)", True),
+    ("arpu_last_month", "decimal(22,2)", True),
+    ("arpu_growth_rate", "decimal(22,2)", True),
     ("arpu_trend", "string", True),
-    ("revenue_call_pct", "decimal(5,2)", True),
-    ("revenue_sms_pct", "decimal(5,2)", True),
-    ("revenue_data_pct", "decimal(5,2)", True),
+    ("revenue_call_pct", "decimal(22,2)", True),
+    ("revenue_sms_pct", "decimal(22,2)", True),
+    ("revenue_data_pct", "decimal(22,2)", True),
     ("user_type", "string", True),
-    ("topup_frequency", "decimal(5,2)", True),
-    ("topup_avg_amount", "decimal(10,2)", True),
-    ("topup_min_amount", "decimal(10,2)", True),
-    ("topup_max_amount", "decimal(10,2)", True),
-    ("topup_advance_ratio", "decimal(10,4)", True),
+    ("topup_frequency", "decimal(22,2)", True),
+    ("topup_avg_amount", "decimal(22,2)", True),
+    ("topup_min_amount", "decimal(22,2)", True),
+    ("topup_max_amount", "decimal(22,2)", True),
+    ("topup_advance_ratio", "decimal(24,4)", True),
     ("topup_frequency_class", "string", True),
     ("bad_debt_risk", "string", True),
-    ("risk_score", "decimal(5,2)", True),
-    ("customer_value_score", "decimal(5,2)", True),
-    ("advance_readiness_score", "decimal(5,2)", True),
-    ("revenue_potential", "decimal(12,2)", True),
+    ("risk_score", "decimal(22,2)", True),
+    ("customer_value_score", "decimal(22,2)", True),
+    ("advance_readiness_score", "decimal(22,2)", True),
+    ("revenue_potential", "decimal(22,2)", True),
     ("cluster_group", "int", True),
     ("classification_reason", "string", True),
     ("strengths", "string", True),
@@ -158,10 +158,10 @@ SERVING_PROFILES = _fields(
 SERVING_MONTHLY = _fields(
     ("isdn", "string", False),
     ("data_month", "string", False),
-    ("arpu_call", "decimal(10,2)", True),
-    ("arpu_sms", "decimal(10,2)", True),
-    ("arpu_data", "decimal(10,2)", True),
-    ("arpu_total", "decimal(10,2)", True),
+    ("arpu_call", "decimal(22,2)", True),
+    ("arpu_sms", "decimal(22,2)", True),
+    ("arpu_data", "decimal(22,2)", True),
+    ("arpu_total", "decimal(22,2)", True),
     ("created_at", "timestamp", True),
 )
 
@@ -169,9 +169,9 @@ SERVING_STATS = _fields(
     ("dimension_type", "string", False),
     ("dimension_value", "string", False),
     ("total_count", "int", True),
-    ("total_advance_amount", "decimal(15,2)", True),
-    ("total_revenue_potential", "decimal(15,2)", True),
-    ("avg_customer_value_score", "decimal(5,2)", True),
-    ("avg_advance_readiness_score", "decimal(5,2)", True),
+    ("total_advance_amount", "decimal(30,2)", True),
+    ("total_revenue_potential", "decimal(30,2)", True),
+    ("avg_customer_value_score", "decimal(22,2)", True),
+    ("avg_advance_readiness_score", "decimal(22,2)", True),
     ("stats_date", "date", False),
 )

@@ -145,3 +145,11 @@ def test_reconcile_sees_gaps(spark):
     docs = spark.createDataFrame([("rec:a",)], "key string")
     index = spark.createDataFrame([("a", "Fee")], "isdn string, service_type string")
     assert values(quality.reconcile(recs, docs, index)) == [("index size Fee", 1), ("recommendation has document", 1)]
+
+
+def test_wide_values_are_kept(spark):
+    """A subscriber with over 1,000 top-ups in the month keeps them, and so do large amounts and shares."""
+    rows = spark.createDataFrame([("a", 1234, 2.5e9, 4321.5)], "isdn string, topup_frequency long, arpu_avg_6m double, revenue_call_pct double")
+    for schema in (serving.SERVING_RECOMMENDATIONS, serving.SERVING_PROFILES):
+        row = serving.to_serving_schema(rows, schema).first()
+        assert (float(row["topup_frequency"]), float(row["arpu_avg_6m"]), float(row["revenue_call_pct"])) == (1234.0, 2.5e9, 4321.5)
