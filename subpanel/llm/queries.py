@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subpanel.llm import chat, decontaminate, extraction, language, neighbours, packing, quality, simhash, substring, toxicity
+from subpanel.llm import (chat, decontaminate, extraction, language, neighbours, packing, periodic, pieces, quality, simhash, substring,
+                          toxicity, whitening)
 from subpanel.llm.common import table
 
 
@@ -61,6 +62,42 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents")).drop("source")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of each text, a tenth of the texts with an end that repeats, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumns({"n": F.size("w"), "a": F.when(F.size("w") > 0, F.col("g") % F.size("w")).cast("int")})
+    left = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), left)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, d: str) -> DataFrame:
+    found = with_repeats(table(spark, d, "documents")).select("doc_id", periodic.periodic(F.col("text")).alias("f"))
+    # Runs are by start, then period, so the first of the longest is the one asked for.
+    longest = F.expr("aggregate(f.runs, get(f.runs, -1), (x, y) -> if(x is null or y.length > x.length, y, x))")
+    lines = F.expr("array_join(transform(f.runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("doc_id", "f", F.size("f.runs").cast("long").alias("n_runs"), longest.alias("r"), lines.alias("lines")).select(
+        "doc_id", "n_runs", "r.start", "r.length", "r.period", F.expr("(1000 * r.length) div r.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("f.collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_pieces(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", pieces.encode(F.col("text"), begin=True, end=True).alias("p"))
+    return found.select(
+        "doc_id", (F.length("p.ids") / 4).cast("long").alias("n_tokens"), F.sha2("p.ids", 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("p.ids")), 256).alias("decoded_sha256"),
+        F.sha2(F.concat("p.begins", "p.ends"), 256).alias("spans_sha256"))
+
+
+def op13_whitening(spark: SparkSession, d: str) -> DataFrame:
+    found = whitening.components_of(table(spark, d, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neighbours": op1_neighbours,
@@ -73,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_periodic": op11_periodic,
+        "op12_pieces": op12_pieces,
+        "op13_whitening": op13_whitening,
     }
 
 
