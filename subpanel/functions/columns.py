@@ -156,15 +156,42 @@ def exact_avg(c: Column | str) -> Column:
     return F.try_divide(exact_sum(c), F.count(_c(c)))
 
 
-def std0(c: Column | str) -> Column:
-    """Sample standard deviation, 0 for a single row."""
-    return F.coalesce(F.stddev_samp(_c(c).cast("double")), F.lit(0.0))
+# Sums and sums of squares in fixed point, and as floating point for values that do not fit.
+MOMENTS = ["_units", "_squares", "_wide_sum", "_wide_squares"]
+_UNIT = 10_000
 
 
-def mode_or_unknown(c: Column | str) -> Column:
-    """Most frequent value, the smallest among ties, 'Unknown' when all are missing.
+def moments(c: Column | str) -> list[Column]:
+    """Partial moments of a group, under the names in MOMENTS: they are added up to give a standard deviation.
 
-    The state is a count per distinct code and is merged map-side, so a key that owns a large share
-    of the rows still reaches its reducer as one small map per task.
+    Values are counted in units of four places, which holds a deviation of equal values at exactly 0.
     """
-    return F.coalesce(F.mode(_c(c), True), F.lit("Unknown"))
+    x = _c(c)
+    units = (x * _UNIT).try_cast("decimal(38,0)")
+    wide = x.cast("double")
+    return [F.try_sum(units).alias("_units"), F.try_sum(F.try_multiply(units, units)).alias("_squares"),
+            F.sum(wide).alias("_wide_sum"), F.sum(wide * wide).alias("_wide_squares")]
+
+
+def merged_moments() -> list[Column]:
+    """Aggregates that add up partial moments."""
+    return [*[F.try_sum(m).alias(m) for m in MOMENTS[:2]], *[F.sum(m).alias(m) for m in MOMENTS[2:]]]
+
+
+def deviation(n: Column | str) -> Column:
+    """Sample standard deviation from the number of values and their moments; 0 for a single value.
+
+    It is exact up to its last step where the squares fit 38 digits.
+    """
+    n = _c(n)
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), F.col("_squares")),
+                           F.try_multiply(F.col("_units"), F.col("_units"))).cast("double") / (_UNIT * _UNIT)
+    wide = n * F.col("_wide_squares") - F.col("_wide_sum") * F.col("_wide_sum")
+    spread = F.greatest(F.coalesce(exact, wide), F.lit(0.0))
+    return F.when(n > 1, F.sqrt(F.try_divide(spread, n * (n - 1)))).otherwise(F.lit(0.0))
+
+
+def most_frequent(code: Column | str, n: Column | str) -> Column:
+    """Of groups by code: the code with the largest sum `n`, the smallest among ties, 'Unknown' when all are missing."""
+    code, n = _c(code), _c(n)
+    return F.coalesce(F.min_by(code, F.when(code.isNotNull(), F.struct(-n, code))), F.lit("Unknown"))

@@ -152,31 +152,50 @@ class Plan:
             self.totals = self.totals.astype(np.int64)
         self.whole, self.rest = self.totals // self.rounds, self.totals % self.rounds
 
-    def served(self, rounds: np.ndarray, queue: int | slice = slice(None)) -> np.ndarray:
-        """Tokens a queue has given before each round."""
-        if queue == slice(None):
-            return rounds[:, None] * self.whole + rounds[:, None] * self.rest // self.rounds
-        return rounds * self.whole[queue] + rounds * self.rest[queue] // self.rounds
-
-    def runs(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
-        """(token of the document, length, stream position) of the stretches of queue tokens start … start + n."""
-        total, rounds, kind = int(self.totals[queue]), self.rounds, self.totals.dtype
-        # Token t goes in round ceil((t + 1) * rounds / total) - 1; a small queue skips most rounds.
-        of = lambda t: -(-(t + 1) * rounds // total) - 1
-        first, last = of(start), of(start + n - 1)
+    def served(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens all queues have given before each round."""
+        return rounds[:, None] * self.whole + rounds[:, None] * self.rest // self.rounds
+
+    def round_of(self, token: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """The round in which a queue gives a token."""
+        return -(-(token + 1) * self.rounds // self.totals[queue]) - 1
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, token of it, length, stream position) of documents whose queue tokens are start … start + n.
+
+        A piece is what one round takes of a document, cut where a sequence ends.
+        """
+        first, last = self.round_of(start, queue), self.round_of(start + n - 1, queue)
+        # A queue of fewer tokens than rounds skips rounds: then each token is looked up.
         sparse = last - first >= n
-        for low in range(0, n if sparse else last - first + 1, 4096):
-            some = range(low, min(low + 4096, n if sparse else last - first + 1))
-            w = np.array([of(start + i) for i in some] if sparse else [first + i for i in some], dtype=kind)
-            a, b = self.served(w, queue), self.served(w + 1, queue)
-            lo, hi = np.maximum(a, start), np.minimum(b, start + n)
-            use = np.flatnonzero(hi > lo)
-            if not len(use):
-                continue
-            at, after = self.served(w[use]), self.served(w[use] + 1)
-            base = at.sum(axis=1) + (after - at)[:, :queue].sum(axis=1)
-            for i, place in zip(use, base):
-                yield int(lo[i]) - start, int(hi[i] - lo[i]), int(place + lo[i] - a[i])
+        count = np.where(sparse, n, last - first + 1).astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), count)
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        w = np.where(sparse[doc], self.round_of(start[doc] + step, queue[doc]), first[doc] + step)
+        use = np.ones(len(doc), bool)
+        use[1:] = (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])
+        doc, w = doc[use], w[use]
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, len(doc), 4096):
+            d, some = doc[i:i + 4096], w[i:i + 4096]
+            rows, q = np.arange(len(d)), queue[d]
+            at, after = self.served(some), self.served(some + 1)
+            gives = after - at
+            begin = at[rows, q]
+            low, high = np.maximum(begin, start[d]), np.minimum(after[rows, q], start[d] + n[d])
+            before = np.cumsum(gives, axis=1)[rows, q] - gives[rows, q]
+            place = at.sum(axis=1) + before + low - begin
+            size = high - low
+            left = np.minimum(size, self.length - place % self.length)
+            keep = size > 0
+            out.append((d[keep], (low - start[d])[keep], left[keep], place[keep]))
+            keep = size > left  # a round holds no more than a sequence, so it ends at most once inside
+            out.append((d[keep], (low - start[d] + left)[keep], (size - left)[keep], (place + left)[keep]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        doc, token, size, place = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in range(4))
+        order = np.lexsort((token, doc))
+        return doc[order], token[order], size[order], place[order]
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, max_queues: int = MAX_QUEUES) -> DataFrame:
@@ -207,17 +226,18 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, max_que
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Plan(totals, length)
+        plan, crc = Plan(totals, length), zlib.crc32
         for batch in small_batches(batches):
-            rows = []
-            for doc, queue, line, start, n, ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                view = memoryview(ids)
-                for token, size, place in plan.runs(line, start, n):
-                    while size:  # a stretch ends where a sequence does
-                        cut = min(size, length - place % length)
-                        rows.append((doc, queue, token, cut, zlib.crc32(view[4 * token:4 * (token + cut)]), n, place // length, place % length))
-                        token, size, place = token + cut, size - cut, place + cut
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            docs, queues = batch.column(0), batch.column(1)
+            line, start, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(plan.totals.dtype) for i in (2, 3, 4))
+            doc, token, size, place = plan.pieces(line.astype(np.int64), start, n)
+            views = [memoryview(x) for x in batch.column(5).to_pylist()]
+            sums = [crc(views[d][a:b]) for d, a, b in zip(doc.tolist(), (4 * token).tolist(), (4 * (token + size)).tolist())]
+            for i in range(0, len(doc), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                at = pa.array(doc[s])
+                yield pa.RecordBatch.from_arrays([
+                    docs.take(at), queues.take(at), pa.array(token[s]), pa.array(size[s]), pa.array(sums[s], pa.int64()),
+                    pa.array(n.astype(np.int64)[doc[s]]), pa.array(place[s] // length), pa.array(place[s] % length)], schema=schema)
 
     return map_arrow(placed, run, PIECES)

@@ -266,15 +266,21 @@ class Model:
         self.short = not any(k in (USER, UNUSED) for k in self.kinds)
         self._cuts()
         self.remember = remember
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Normalised bytes of each piece; byte pieces get theirs from the character they spell.
+        self.sizes = np.array([0 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds)], np.int64)
+        self.values = np.array([int(p[3:5], 16) if k == BYTE else -1 for p, k in zip(self.pieces, self.kinds)], np.int64)
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.surfaces = [self._surface(i) for i in range(len(self.pieces))]
 
     def _cuts(self) -> None:
-        """Parts that no piece crosses: before blanks, and between signs that no chain of pieces joins."""
+        """Parts that no piece crosses: before blanks, and between signs that no chain of pieces joins.
+
+        Models of other kinds, whose unknown signs have no bytes, say, take a text as one part.
+        """
         self.cut = None
-        if any(BLANK in p.lstrip(BLANK) for p in self.known) or self.user or self.normalizer.as_suffix:
+        if any(BLANK in p.lstrip(BLANK) for p in self.known) or self.user or self.normalizer.as_suffix or not self.byte_fallback:
             return
         group: dict[str, set[str]] = {}
         for piece in self.known:
@@ -373,14 +379,32 @@ class Model:
     def _learn(self, parts: set[str]) -> None:
         if len(self.seen) > self.remember:
             self.seen, self.older = {}, self.seen
+        seen, older, known, short = self.seen, self.older, self.known, self.short and SHORT
         for part in parts:
-            if part in self.seen:
+            if part in seen:
                 continue
-            if part in self.older:
-                self.seen[part] = self.older[part]
+            if part in older:
+                seen[part] = older[part]
                 continue
-            found = self.merge(part)
-            self.seen[part] = tuple(struct.pack(f"<{len(found)}I", *x) for x in zip(*found))
+            if len(part) <= short:
+                signs = self._merge_short(part)
+                try:
+                    ids = [known[s] for s in signs]
+                except KeyError:
+                    ids = [i for i, _ in self._spell(signs)]
+            else:
+                ids = [i for i, _ in self.merge(part)]
+            seen[part] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised bytes of each piece of a whole text; of a character spelt in bytes, the last byte holds all."""
+        sizes, values = self.sizes[ids], self.values[ids]
+        first = np.flatnonzero((values >= 0) & (values & 0xC0 != 0x80))
+        if len(first):
+            lead = values[first]
+            size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            sizes[first + size - 1] = size
+        return sizes
 
     def encode(self, text: str | None) -> tuple[bytes, bytes, bytes]:
         """Ids, and first and end source byte of each, as little-endian unsigned 32-bit values."""
@@ -390,23 +414,22 @@ class Model:
         if self.cut:
             parts = self.cut.findall(normal)
             try:
-                found = list(map(self.seen.__getitem__, parts))
+                ids = b"".join(map(self.seen.__getitem__, parts))
             except KeyError:
                 self._learn(set(parts))
-                found = list(map(self.seen.__getitem__, parts))
-            ids, sizes = (np.frombuffer(b"".join(x[k] for x in found), "<u4") for k in (0, 1))
+                ids = b"".join(map(self.seen.__getitem__, parts))
+            ids = np.frombuffer(ids, "<u4")
+            sizes = self._sizes(ids)
         else:
             found = self.merge(normal)
-            ids, sizes = (np.array([x[k] for x in found], "<u4") for k in (0, 1))
+            ids, sizes = (np.array([x[k] for x in found], t) for k, t in ((0, "<u4"), (1, np.int64)))
         if not self.byte_fallback and len(ids) > 1:  # unknown neighbours are one
             more = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
             first = np.flatnonzero(np.concatenate([[True], ~more]))
             ids, sizes = ids[first], np.add.reduceat(sizes, first)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        begins = ends - sizes
-        if self.byte_fallback and len(ids):  # all but the last byte of a character stand empty at its first
-            ends = np.where(sizes == 0, begins, ends)
-        return ids.tobytes(), origin[begins].astype("<u4").tobytes(), origin[ends].astype("<u4").tobytes()
+        # All but the last byte of a character stand empty at its first.
+        ends = np.cumsum(sizes)
+        return ids.tobytes(), origin[ends - sizes].astype("<u4").tobytes(), origin[ends].astype("<u4").tobytes()
 
     # --- decoding -------------------------------------------------------------------------------
 
@@ -462,6 +485,13 @@ def model_of(path: str) -> Model:
     return _MODELS[path]
 
 
+def small_arrays(batches: Iterable[pa.Array], rows: int = 200) -> Iterator[pa.Array]:
+    """Incoming arrays cut, so that few texts and their pieces are held at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 _INTS = pa.binary()
 _ENCODED = pa.struct([("ids", _INTS), ("begins", _INTS), ("ends", _INTS)])
 
@@ -479,10 +509,9 @@ def encode(text: Column, path: str | None = None, begin: bool = False, end: bool
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(path)
         number = struct.Struct("<I").pack
-        for batch in batches:
+        for batch in small_arrays(batches):
             cols: tuple[list[bytes], ...] = ([], [], [])
-            for text in batch:
-                text = text.as_py()
+            for text in batch.to_pylist():
                 ids, begins, ends = model.encode(text)
                 last = number(len((text or "").encode())) if end else b""
                 if begin:
@@ -492,8 +521,7 @@ def encode(text: Column, path: str | None = None, begin: bool = False, end: bool
                 for col, value in zip(cols, (ids, begins, ends)):
                     col.append(value)
             yield pa.StructArray.from_arrays([pa.array(c, _INTS) for c in cols], fields=list(_ENCODED))
-            del cols
-            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
 
     return run(text)
 
@@ -505,9 +533,8 @@ def decode(ids: Column, path: str | None = None) -> Column:
     @arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(path)
-        for batch in batches:
-            yield pa.array([None if x is None else model.decode(np.frombuffer(x, "<u4").tolist())
-                            for x in (v.as_py() for v in batch)], pa.string())
-            pa.default_memory_pool().release_unused()
+        for batch in small_arrays(batches):
+            yield pa.array([None if x is None else model.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.to_pylist()], pa.string())
+        pa.default_memory_pool().release_unused()
 
     return run(ids)

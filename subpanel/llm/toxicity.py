@@ -18,6 +18,10 @@ BITS = 22
 FIT_ROWS = 20_000
 #: Weight of the smoothing, in documents that are dealt to the labels by their shares: a bucket never seen has ratio 0.
 SMOOTH = 1.0
+#: Bytes of n-gram marks that the sample brings to the driver, about; one document has at most 2 * 2^BITS.
+FIT_BYTES = 48_000_000
+#: Places of the filter in front of the join with the labels: 2 MB, whatever the number of labels.
+FILTER_PLACES = 1 << 24
 UPDATES, BATCH, STEP = 1000, 64, 16.0
 FLAG_FROM = 0.3
 _SHIFT = 97  # share of hash space between the n-gram orders
@@ -133,12 +137,12 @@ def fit_rows_of(sample: list[tuple[int, bytes]], counts: np.ndarray, n_toxic: in
     return own + np.float32(shared), b
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     """Ratio and coefficient of each bucket and the intercept.
 
     `labelled` has text and toxic (0 or 1) and may have doc_id; rows with nulls are left out. The counts are of all
-    rows; the coefficients are fitted to about `fit_rows` of them, drawn by a hash of id and text, each with its whole
-    text. Without rows of both classes every ratio is 0.
+    rows; the coefficients are fitted to about `fit_rows` of them, fewer where their marks exceed `fit_bytes`, drawn by
+    a hash of id and text, each with its whole text. Without rows of both classes every ratio is 0.
     """
     names = [c for c in ("doc_id", "text") if c in labelled.columns]
     rows = labelled.where("text is not null and toxic is not null").select(*names, F.col("toxic").cast("int").alias("toxic"))
@@ -153,7 +157,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
     def marks(texts: pd.Series) -> pd.Series:
         return pd.Series([packed(present(t)) for t in texts], dtype=object)
 
-    drawn = rows.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(min(1.0, fit_rows / (n_toxic + n_other)) * (1 << 20)))
+    # A bucket's documents are counted once each, so the counts add up to the marks of all rows, of two bytes each.
+    marks_of_all = float(counts.sum(dtype=np.float64))
+    share = min(1.0, fit_rows / (n_toxic + n_other), fit_bytes / (2 * max(1.0, marks_of_all)))
+    drawn = rows.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = drawn.select(F.expr("int(toxic <> 0)").alias("toxic"), marks(F.col("text")).alias("x")).toArrow()
     sample = sorted(zip(sample.column("toxic").to_pylist(), sample.column("x").to_pylist()))
     ratios = log_count_ratios(counts[0], counts[1], n_toxic, n_other)
@@ -176,6 +183,27 @@ def score(text: Column, ratios: np.ndarray, weights: np.ndarray, b: float) -> Co
     return run(text)
 
 
+def maybe_known(docs: DataFrame, known: DataFrame, places: int = FILTER_PLACES) -> DataFrame:
+    """The documents without most of those whose doc_id is not in `known`; all others stay.
+
+    A filter of `places` bits is built by one aggregation and tested on the ids alone, so texts of other documents are
+    not moved to meet their labels.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(places)) + 1  # Spark's bitmaps count from 1, 2^15 bits each
+    parts = known.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    bits = np.zeros(-(-places // 8) + 4096, np.uint8)
+    for r in parts:
+        bits[(r["part"] - 1) * 4096:r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    @pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy() - 1
+        return pd.Series(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return docs.where(F.col("doc_id").isNotNull()).where(test(place))
+
+
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, flag_from: float = FLAG_FROM) -> DataFrame:
     """The documents with held_out, score and predicted.
 
@@ -185,9 +213,10 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, flag_
     """
     prepare(docs.sparkSession)
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    # All labelled texts are counted; how they meet their labels is left to Spark's size statistics.
+    # All labelled texts are counted; they meet their labels in the same way at every size.
     known = labels.select("doc_id", "toxic").where(part != 2).where("toxic is not null").distinct()
-    labelled = written(docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    texts = maybe_known(docs.select("doc_id", "text"), known)
+    labelled = written(texts.hint("merge").join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     ratios, weights, b = fit(labelled, fit_rows)
     return docs.withColumns({"held_out": F.coalesce(part == 2, F.lit(False)), "score": score(F.col("text"), ratios, weights, b)}).withColumn(
         "predicted", (F.col("score") >= flag_from).cast("int"))

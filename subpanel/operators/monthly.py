@@ -3,6 +3,10 @@
 All reductions aggregate map-side before the shuffle, so a key that owns a large share of the raw
 rows arrives as one row per task. Each result is hash-partitioned by the key, and the join chain in
 `master` reuses that partitioning.
+
+Extracts with a most frequent code are reduced twice: raw rows by key and code, with sums, counts and
+maxima in fixed-width buffers that a hash aggregate updates in place, then the few codes of a key to
+one row. The second step carries the first step's sums along, so raw rows are read once.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subpanel.functions.columns import MONEY, mode_or_unknown, money0, safe_ratio, std0, to_date_dmy
+from subpanel.functions.columns import (MOMENTS, MONEY, deviation, merged_moments, moments, money0, most_frequent,
+                                        safe_ratio, to_date_dmy)
 from subpanel.schemas import ARPU_COLUMNS, KEYS, TENFOLD_SERVICES
 
 
@@ -55,12 +60,15 @@ def correct_units(df: DataFrame, services: Sequence[str] = tuple(TENFOLD_SERVICE
 
 def agg_advance(n4: DataFrame) -> DataFrame:
     total, repaid = F.col("total_advance_amount"), F.col("total_repayment_amount")
-    return (correct_units(split_advance(with_keys(n4))).groupBy(*KEYS)
-            .agg(F.count(F.lit(1)).alias("advance_count"),
-                 F.sum("advance_amount").cast("double").alias("total_advance_amount"),
-                 F.max("advance_amount").cast("double").alias("max_advance_amount"),
-                 F.sum("repayment_amount").cast("double").alias("total_repayment_amount"),
-                 mode_or_unknown("advance_service_type").alias("most_used_advance_service"))
+    by_code = (correct_units(split_advance(with_keys(n4))).groupBy(*KEYS, "advance_service_type")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("advance_amount").alias("advanced"),
+                    F.max("advance_amount").alias("largest"), F.sum("repayment_amount").alias("repaid")))
+    return (by_code.groupBy(*KEYS)
+            .agg(F.sum("n").alias("advance_count"),
+                 F.sum("advanced").cast("double").alias("total_advance_amount"),
+                 F.max("largest").cast("double").alias("max_advance_amount"),
+                 F.sum("repaid").cast("double").alias("total_repayment_amount"),
+                 most_frequent("advance_service_type", "n").alias("most_used_advance_service"))
             .withColumns({
                 "avg_advance_amount": total / F.col("advance_count"),
                 "avg_repayment_rate": safe_ratio(repaid, total),
@@ -69,13 +77,17 @@ def agg_advance(n4: DataFrame) -> DataFrame:
 
 
 def agg_topup(n5: DataFrame) -> DataFrame:
-    return (with_keys(n5).withColumn("topup_amount", money0("topup_amount")).groupBy(*KEYS)
-            .agg(F.count("topup_amount").alias("topup_count"),
-                 F.sum("topup_amount").cast("double").alias("total_topup_amount"),
-                 std0("topup_amount").alias("std_topup_amount"),
-                 F.max("topup_amount").cast("double").alias("max_topup_amount"),
-                 mode_or_unknown("topup_channel").alias("most_used_topup_channel"))
-            .withColumn("avg_topup_amount", F.col("total_topup_amount") / F.col("topup_count")))
+    by_code = (with_keys(n5).withColumn("topup_amount", money0("topup_amount")).groupBy(*KEYS, "topup_channel")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("topup_amount").alias("amount"),
+                    F.max("topup_amount").alias("largest"), *moments("topup_amount")))
+    return (by_code.groupBy(*KEYS)
+            .agg(F.sum("n").alias("topup_count"), F.sum("amount").cast("double").alias("total_topup_amount"),
+                 F.max("largest").cast("double").alias("max_topup_amount"),
+                 *merged_moments(),
+                 most_frequent("topup_channel", "n").alias("most_used_topup_channel"))
+            .withColumn("std_topup_amount", deviation("topup_count"))
+            .withColumn("avg_topup_amount", F.col("total_topup_amount") / F.col("topup_count"))
+            .drop(*MOMENTS))
 
 
 def agg_package(n2: DataFrame) -> DataFrame:

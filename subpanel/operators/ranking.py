@@ -1,62 +1,43 @@
 """Ranks inside groups that may be as large as the table.
 
 There are three services, so a plain window over the service would sort a third of all rows in one
-task. Here the rows are cut into slices by score and id; each is ranked inside its slice and shifted
-by the number of rows of its group in the slices before it.
+task. Here the rows are range-partitioned by group, score and id and sorted within each partition, so
+that partitions follow one another in rank order. The place of a row in its partition plus the sizes
+of the partitions before it is its rank: a prefix sum over a few numbers a partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subpanel.sources import tables
 
-def _position(score: str, id_column: str) -> Column:
-    return F.struct(F.col(score).alias("score"), F.col(id_column).alias("id"))
+_PLACE_BITS = 33  # of monotonically_increasing_id that count the rows of a partition
 
 
-def slice_cuts(df: DataFrame, score: str, id_column: str, slices: int, sample: int = 4096) -> Column:
-    """Ordered cut points of (score, id) as a scalar, from a repeatable sample of ids.
+def in_rank_order(df: DataFrame, group: str, score: str, id_column: str, parts: int) -> DataFrame:
+    """The rows with `_part` and `_place`: by group, then score and id descending, over `parts` sorted partitions.
 
-    Ids are picked by hash, at a rate that gives between `sample` and twice as many, whatever the
-    number of rows. The sample only steers balance: any cut points give the same ranks.
+    The cut points come from a sample, so the result must be stored before it is read twice.
     """
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    rate = F.greatest(F.floor(rows / sample), F.lit(1))
-    picked = df.filter(F.pmod(F.xxhash64(id_column), rate) == 0).select(_position(score, id_column).alias("p"))
-    ordered = picked.agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    step = F.greatest(F.floor(F.size("ps") / slices), F.lit(1)).cast("int")
-    return ordered.select(F.filter("ps", lambda x, i: (i % step == 0) & (i > 0)).alias("cuts")).scalar()
+    order = [F.asc(group), F.desc(score), F.desc(id_column)]
+    at = F.monotonically_increasing_id()
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({
+        "_part": F.shiftright(at, _PLACE_BITS).cast("int"), "_place": at.bitwiseAND((1 << _PLACE_BITS) - 1)})
 
 
-def with_slice(df: DataFrame, score: str, id_column: str, slices: int) -> DataFrame:
-    """Number of cut points at or below the row, as `_slice`, by binary search.
-
-    Each step is a column of its own that the next one reads, so the search costs a handful of
-    comparisons in generated code. Looking past the last cut point gives null and stays put.
-    """
-    out = df.withColumns({"_cuts": slice_cuts(df, score, id_column, slices), "_slice": F.lit(0)})
-    step = 1 << (2 * slices).bit_length() - 1  # there are fewer than twice as many cut points as slices
-    while step:
-        reached = F.get("_cuts", F.col("_slice") + (step - 1)) <= _position(score, id_column)
-        out = out.withColumn("_slice", F.col("_slice") + F.when(reached, step).otherwise(0))
-        step >>= 1
-    return out.drop("_cuts")
-
-
-def rank_descending(df: DataFrame, group: str, score: str, id_column: str, slices: int = 128) -> DataFrame:
+def rank_descending(df: DataFrame, group: str, score: str, id_column: str, parts: int | None = None) -> DataFrame:
     """0-based rank inside the group by score, then id, both descending; exact at any group size.
 
-    A slice holds about 1/`slices` of all rows, ties included, because the id is part of the cut.
-    The score must not be null.
+    More partitions (by default those of a shuffle) make smaller tasks. Rows of equal score and id lie in one
+    partition. The score must not be null.
     """
-    rows = with_slice(df, score, id_column, slices)
-    cell = [group, "_slice"]
-    # Fewer than twice `slices` rows per group, however many rows the group has.
-    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc(score), F.desc(id_column))) - 1
-    return (rows.withColumn("_local", local).join(offsets, cell)
-            .withColumn("rank", F.col("_offset") + F.col("_local"))
-            .drop("_slice", "_local", "_offset"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tables.kept(in_rank_order(df, group, score, id_column, parts), "ranks")
+    # A group is contiguous, so there are fewer than `parts` + groups of these.
+    sizes = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return (rows.join(offsets, [group, "_part"]).withColumn("rank", F.col("_offset") + F.col("_place"))
+            .drop("_part", "_place", "_offset"))

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from subpanel.functions.columns import case_when, half_even, is_true, pct
+from subpanel.functions.columns import case_when, exact_avg, half_even, is_true, pct
+from subpanel.operators import kmeans
 from subpanel.operators.features import TOPUP_FEATURES
 from subpanel.operators.params import ClusterParams
 
@@ -80,70 +77,89 @@ def assign_clusters(df: DataFrame, centroids: Sequence[Mapping[str, float]]) ->
     return df.withColumn("cluster", F.array_min(options)["cluster"])
 
 
-# Least rows worth a task of their own in a pass over the vectors.
-ROWS_PER_TASK = 50_000
-
-# Prefix of the cleaned copies a model reads.
-_CLEAN = "_x_"
+# Prefix of the cleaned and scaled copies a model reads.
+_SCALED = "_z_"
 
 
 @dataclass
 class SegmentModel:
-    pipeline: PipelineModel
+    """Scaling, centres on the scaled columns, and the costs of all starts."""
+
     columns: list[str]
+    means: list[float]
+    deviations: list[float]
+    centres: list[list[float]]
     cost: float
     costs: list[float]
 
+    def scaled(self, df: DataFrame) -> DataFrame:
+        """The rows with a scaled copy of each column; a constant column becomes 0."""
+        out = clean_matrix(df, self.columns, prefix=_SCALED)
+        return out.withColumns({f"{_SCALED}{c}": (F.col(f"{_SCALED}{c}") - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+                                for c, m, s in zip(self.columns, self.means, self.deviations)})
+
     def assign(self, df: DataFrame) -> DataFrame:
         """All columns of the rows and their cluster number."""
-        return (self.pipeline.transform(clean_matrix(df, self.columns, prefix=_CLEAN))
-                .drop("_raw", "_scaled", *[_CLEAN + c for c in self.columns]).withColumnRenamed("prediction", "cluster"))
+        centroids = [dict(zip((_SCALED + c for c in self.columns), centre)) for centre in self.centres]
+        return assign_clusters(self.scaled(df), centroids).drop(*[_SCALED + c for c in self.columns])
+
+    def distances(self, df: DataFrame) -> DataFrame:
+        """The rows of an assignment with the squared distances from all centres, in order, as `distances`."""
+        def distance(centre: Sequence[float]) -> Column:
+            total = F.lit(0.0)
+            for c, v in zip(self.columns, centre):
+                total = total + (F.col(_SCALED + c) - F.lit(v)) * (F.col(_SCALED + c) - F.lit(v))
+            return total
+        return (self.scaled(df).withColumn("distances", F.array(*[distance(c) for c in self.centres]))
+                .drop(*[_SCALED + c for c in self.columns]))
 
     def centers(self, spark: SparkSession) -> DataFrame:
         """Centres on the standardised scale, one row per cluster and feature."""
-        rows = [(i, name, float(v)) for i, centre in enumerate(self.pipeline.stages[-1].clusterCenters())
-                for name, v in zip(self.columns, centre)]
+        rows = [(i, name, float(v)) for i, centre in enumerate(self.centres) for name, v in zip(self.columns, centre)]
         return spark.createDataFrame(rows, "cluster int, feature string, center double")
 
 
 def fit_segments(df: DataFrame, columns: Sequence[str] = tuple(CLUSTER_FEATURES),
-                 params: ClusterParams = ClusterParams(), parallelism: int = 8) -> SegmentModel:
-    """K-Means with several starts, the cheapest kept. Each start is a distributed fit.
-
-    The starts run on the same persisted vectors, a few at a time; only costs and centres return
-    to the driver.
-    """
+                 params: ClusterParams = ClusterParams()) -> SegmentModel:
+    """K-Means with several starts, the cheapest kept. All starts share each pass over the scaled vectors."""
     params.validate()
     columns = list(columns)
-    prepare = Pipeline(stages=[
-        VectorAssembler(inputCols=[_CLEAN + c for c in columns], outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)])
-    matrix = clean_matrix(df.select(*columns), columns, prefix=_CLEAN)
-    prepared = prepare.fit(matrix)
-    # Many short passes follow: fewer tasks for a small snapshot, all of them for a large one.
-    tasks = max(1, matrix.count() // ROWS_PER_TASK)
-    vectors = prepared.transform(matrix).select("_scaled").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = clean_matrix(df.select(*columns), columns)
+    moments = matrix.agg(*[f(c).alias(f"{tag}:{c}") for c in columns for tag, f in (("m", exact_avg), ("s", F.stddev_pop))]).first()
+    model = SegmentModel(columns, [moments[f"m:{c}"] or 0.0 for c in columns], [moments[f"s:{c}"] or 0.0 for c in columns], [], 0.0, [])
+    vectors = (model.scaled(df.select(*columns)).select(F.array(*[_SCALED + c for c in columns]).alias("x"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        def fit(start: int):
-            km = KMeans(featuresCol="_scaled", k=params.n_clusters, seed=params.random_state + start,
-                        maxIter=params.max_iter)
-            model = km.fit(vectors)
-            return model.summary.trainingCost, start, model
-        with ThreadPoolExecutor(parallelism) as pool:
-            fits = list(pool.map(fit, range(params.n_init)))
+        found = kmeans.fit(vectors, "x", params.n_clusters, params.n_init, params.max_iter, params.random_state)
     finally:
         vectors.unpersist()
-    cost, _, best = min(fits, key=lambda f: f[:2])
-    return SegmentModel(PipelineModel(stages=[*prepared.stages, best]), columns, cost, [f[0] for f in fits])
+    if found is None:
+        raise ValueError("no rows to cluster")
+    model.centres, model.cost, model.costs = found.centres.tolist(), found.cost, found.costs
+    return model
 
 
 def save_model(model: SegmentModel, mapping: DataFrame, path: str) -> None:
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    mapping.write.mode("overwrite").parquet(f"{path}/cluster_mapping")
-
-
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/cluster_mapping")
+    """Scaling, centres, costs and the segment of each cluster, as Parquet tables below the path."""
+    spark = mapping.sparkSession
+    scaling = spark.createDataFrame([(i, c, float(m), float(s)) for i, (c, m, s) in enumerate(zip(model.columns, model.means, model.deviations))],
+                                    "position int, feature string, mean double, deviation double")
+    costs = spark.createDataFrame([(i, float(c), i == model.costs.index(model.cost)) for i, c in enumerate(model.costs)],
+                                  "start int, cost double, kept boolean")
+    for name, table in (("scaling", scaling), ("centers", model.centers(spark)), ("costs", costs), ("cluster_mapping", mapping)):
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[SegmentModel, DataFrame]:
+    """A stored model and the segment of each cluster; its tables have a row per feature, cluster or start."""
+    scaling = spark.read.parquet(f"{path}/scaling").orderBy("position").collect()
+    centre = {(r["cluster"], r["feature"]): r["center"] for r in spark.read.parquet(f"{path}/centers").collect()}
+    costs = spark.read.parquet(f"{path}/costs").orderBy("start").collect()
+    columns = [r["feature"] for r in scaling]
+    centres = [[centre[k, c] for c in columns] for k in range(1 + max(k for k, _ in centre))]
+    model = SegmentModel(columns, [r["mean"] for r in scaling], [r["deviation"] for r in scaling], centres,
+                         next(r["cost"] for r in costs if r["kept"]), [r["cost"] for r in costs])
+    return model, spark.read.parquet(f"{path}/cluster_mapping")
 
 
 def _group_stats(df: DataFrame, key: str) -> DataFrame:

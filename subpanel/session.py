@@ -28,6 +28,16 @@ def build_session(app_name: str = "subpanel", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it (harmless where it is installed)."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
 _local_dirs: dict[str, str] = {}
 
 

@@ -1,6 +1,7 @@
 """The six extracts as views over the star-schema test tables (mapping in FIXTURES.md).
 
-Calendar years stand for months, 1996 for the first of MONTHS. Every row of the tables is read into an extract.
+Calendar years stand for months, 1996 for the first of MONTHS. Every row of the tables is read into an extract. Lines,
+orders and events are read from the star, which joins them with their customers once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from subpanel.functions.columns import MONEY
 from subpanel.schemas import MONTHS
+from subpanel.sources.star import SALT, Star, star
 
 FIRST_YEAR = 1996
 #: Months of the subscriber rows: the year before the first of MONTHS has orders too.
@@ -32,17 +34,8 @@ def _month(c: str) -> Column:
     return _month_of_year(F.year(c))
 
 
-def _customers(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_name").alias("isdn"))
-
-
-def _lines(spark, sf_dir, *columns: str):
-    return (_table(spark, sf_dir, "lineitem")
-            .withColumn("data_month", _month("l_shipdate")).select("l_orderkey", "data_month", *columns))
-
-
-def _orders(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def _star(spark: SparkSession, sf_dir: str) -> Star:
+    return star(spark, sf_dir, lambda name: _table(spark, sf_dir, name))
 
 
 def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,34 +52,27 @@ def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARPU rows, one per order of a subscriber in a month, so several per key.
-
-    Lines are summed per order before the joins; the factor of the subscriber is applied after.
-    """
+    """ARPU rows, one per order of a subscriber in a month, so several per key."""
     v = (F.col("l_quantity") * F.col("l_discount") * 1000).cast("decimal(8,2)")
     zero = F.lit(0).cast("decimal(8,2)")
     part = lambda letter: F.sum(F.when(F.col("l_returnflag") == letter, F.col("v")).otherwise(zero))
-    factor = F.when(F.col("o_custkey") % 7 == 0, 12).otherwise(1)
+    factor = F.when(F.col("c_custkey") % 7 == 0, 12).otherwise(1)
     sums = ["arpu_call", "arpu_sms", "arpu_data", "arpu_total"]
-    return (_table(spark, sf_dir, "lineitem")
-            .select("l_orderkey", F.year("l_shipdate").alias("year"), "l_returnflag", v.alias("v"))
-            .groupBy("l_orderkey", "year")
+    # The stored lines lie by customer and salt, and an order has one of each, so its sums need no shuffle.
+    order = ["isdn", SALT, "c_custkey", "l_orderkey", "year"]
+    return (_star(spark, sf_dir).lines()
+            .select(*order[:-1], F.year("l_shipdate").alias("year"), "l_returnflag", v.alias("v"))
+            .groupBy(*order)
             .agg(part("A").alias("arpu_call"), part("R").alias("arpu_sms"),
                  part("N").alias("arpu_data"), F.sum("v").alias("arpu_total"))
-            .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
             .select("isdn", _month_of_year(F.col("year")).alias("data_month"),
                     *[(F.col(c) * factor).cast(MONEY).alias(c) for c in sums]))
 
 
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package purchases, one per line."""
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
-    return (_lines(spark, sf_dir, "l_partkey", "l_linestatus", "l_shipdate")
-            .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select("isdn", "data_month", F.col("p_brand").alias("package_code"),
+    """Package purchases, one per line with a known part."""
+    return (_star(spark, sf_dir).lines().where(F.col("p_partkey").isNotNull())
+            .select("isdn", _month("l_shipdate").alias("data_month"), F.col("p_brand").alias("package_code"),
                     (F.col("p_retailprice") * 30).alias("package_price"),
                     F.col("p_size").alias("package_cycle"),
                     F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("package_renewal_datetime")))
@@ -96,35 +82,27 @@ def n3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage records."""
     sixth = F.least(F.floor((F.dayofmonth("ts") - 1) / 5), F.lit(5))  # a 31st day belongs to the last
     month = (F.lit(int(MONTHS[0])) + sixth).cast("string")
-    return (_table(spark, sf_dir, "events")
-            .join(_customers(spark, sf_dir), F.col("user_id") == F.col("c_custkey"))
-            .select("isdn", month.alias("data_month"), "event_id"))
+    return _star(spark, sf_dir).usage().select("isdn", month.alias("data_month"), "event_id")
 
 
 def n4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advance (ut), repayment (hu) and other (oth) transactions, one per line.
 
-    A line is booked on the payer of its customer: the nearest smaller key that 3 divides, or 3. So all lines are
-    read, and two thirds of the subscribers never advance.
+    A line is booked on the payer of its customer, so all lines are read, and two thirds of the subscribers never advance.
     """
     service = F.element_at(F.array(*[F.lit(s) for s in ("EasyCredit", "ungdata247", "MBFG", "UT_SPLUS")]),
                            (F.col("l_suppkey") % 4 + 1).cast("int"))
-    payer = F.greatest(F.col("o_custkey") - F.col("o_custkey") % 3, F.lit(3))
     source = F.when(F.col("l_returnflag") == "A", "ut").when(F.col("l_returnflag") == "R", "hu").otherwise("oth")
-    return (_lines(spark, sf_dir, "l_returnflag", "l_extendedprice", "l_suppkey")
-            .join(_orders(spark, sf_dir).select("o_orderkey", payer.alias("payer")), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(_customers(spark, sf_dir), F.col("payer") == F.col("c_custkey"))
-            .select("isdn", "data_month", F.col("l_extendedprice").alias("amount"), source.alias("source"),
-                    service.alias("advance_service_type")))
+    return (_star(spark, sf_dir).lines().where(F.col("payer").isNotNull())
+            .select(F.col("payer").alias("isdn"), _month("l_shipdate").alias("data_month"),
+                    F.col("l_extendedprice").alias("amount"), source.alias("source"), service.alias("advance_service_type")))
 
 
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-ups."""
-    return (_table(spark, sf_dir, "orders")
-            .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-            .select("isdn", _month("o_orderdate").alias("data_month"),
-                    (F.col("o_totalprice") / 5).alias("topup_amount"),
-                    F.col("o_orderpriority").alias("topup_channel")))
+    return _star(spark, sf_dir).orders().select(
+        "isdn", _month("o_orderdate").alias("data_month"), (F.col("o_totalprice") / 5).alias("topup_amount"),
+        F.col("o_orderpriority").alias("topup_channel"))
 
 
 def extracts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from subpanel.session import work_dir
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, fmt: str = "parquet",
                schema: T.StructType | str | None = None) -> DataFrame:
@@ -24,21 +27,29 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
 
 
-def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int, partition_by: Sequence[str] = (),
-                   spread: bool = False) -> DataFrame:
-    """Full refresh of a Parquet table whose files are split by a hash of the key; returns the table.
+def write_bucketed(df: DataFrame, path: str, table: str, key: str | Sequence[str], buckets: int,
+                   partition_by: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """Full refresh of a Parquet table whose files are split by a hash of the key columns; returns the table.
 
     Joins, windows and groupings on the key between tables with the same number of buckets need no
     shuffle. `spread` shuffles the rows by the key first; without it they must already be so
     partitioned, or every task writes a file per bucket.
     """
+    key = [key] if isinstance(key, str) else list(key)
     if spread:
-        df = df.repartition(buckets, key)
+        df = df.repartition(buckets, *key)
     (df.write.mode("overwrite").option("path", path).option("compression", "snappy").partitionBy(*partition_by)
-     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+     .bucketBy(buckets, *key).sortBy(*key).saveAsTable(table))
     return df.sparkSession.table(table)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Store a frame in the shared folder and read it back: cuts lineage, and every later reader sees the same rows."""
+    path = f"{work_dir(df.sparkSession)}/kept/{name}-{uuid.uuid4().hex[:16]}"
+    write_table(df, path)
+    return read_table(df.sparkSession, path, schema=df.schema)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

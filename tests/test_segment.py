@@ -1,6 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from subpanel.operators import segment
+from subpanel.operators import kmeans, segment
 from subpanel.operators.params import ClusterParams
 from tests.conftest import values
 
@@ -38,12 +39,42 @@ def test_model_round_trip(spark, tmp_path):
     model = segment.fit_segments(df, ["x", "y"], ClusterParams(n_init=1, max_iter=100))
     ranks = segment.rank_clusters(model.assign(df))
     segment.save_model(model, ranks, str(tmp_path / "m"))
-    pipeline, mapping = segment.load_model(spark, str(tmp_path / "m"))
-    assert values(mapping) == values(ranks)
-    again = segment.SegmentModel(pipeline, ["x", "y"], model.cost, model.costs)
+    again, mapping = segment.load_model(spark, str(tmp_path / "m"))
+    assert values(mapping) == values(ranks) and again == model
     assert values(again.assign(df), "isdn", "cluster") == values(model.assign(df), "isdn", "cluster")
 
 
+def test_starts_share_passes_and_settle(spark):
+    """One aggregation an iteration for all starts; a settled start does no more iterations."""
+    df = blobs(spark).select(F.array("x", "y").alias("v")).cache()
+    found = kmeans.fit(df, "v", 3, 6, 100, 42)
+    x = np.array([r.v for r in df.collect()])
+    away = ((x[:, None] - found.centres[None]) ** 2).sum(axis=2)
+    assert abs(away.min(axis=1).sum() - found.cost) < 1e-9 and found.cost == min(found.costs)
+    # A centre is the mean of its rows.
+    label = away.argmin(axis=1)
+    assert np.allclose(found.centres, [x[label == k].mean(axis=0) for k in range(3)], atol=1e-2)
+    assert len(found.iterations) == 6 and max(found.iterations) < 100
+    again = kmeans.fit(df.repartition(7), "v", 3, 6, 100, 42)
+    assert np.allclose(sorted(again.centres.tolist()), sorted(found.centres.tolist()), atol=1e-9)
+
+
+def test_kmeans_of_few_rows(spark):
+    """Fewer different rows than clusters, and none at all."""
+    same = spark.createDataFrame([([1.0, 2.0],)] * 5, "v array<double>")
+    found = kmeans.fit(same, "v", 3, 2, 100, 1)
+    assert found.cost == 0 and found.centres.tolist() == [[1.0, 2.0]] * 3
+    assert kmeans.fit(same.limit(0), "v", 3, 2, 100, 1) is None
+
+
+def test_distances_agree_with_the_assignment(spark):
+    df = blobs(spark)
+    model = segment.fit_segments(df, ["x", "y"], ClusterParams(n_init=2, max_iter=100))
+    rows = model.distances(model.assign(df)).collect()
+    assert all(r.distances[r.cluster] == min(r.distances) for r in rows)
+    assert abs(sum(min(r.distances) for r in rows) - model.cost) < 1e-9
+
+
 def test_clean_matrix(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),), (2.0,)], "x double")
     assert [r.x for r in segment.clean_matrix(df, ["x"]).collect()] == [0.0, 0.0, 999.0, 999.0, 2.0]
