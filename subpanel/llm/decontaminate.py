@@ -89,21 +89,28 @@ def verdict(text: Column, windows: dict[bytes, list[str]]) -> Column:
     return run(text)
 
 
+def is_contaminated(judged: str, one_in: int) -> Column:
+    return F.expr(f"{judged}.n_hit > 0 and {one_in} * {judged}.n_hit >= {judged}.n_words")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: int = 20) -> DataFrame:
     """The documents with `verdict` (words, hit words, item ids, hit spans in the original text) and `contaminated`.
 
     A document word inside an occurrence of a window of `n` item words is hit; a document is contaminated from one
     hit word in `one_in`. Null and empty texts have no words and are clean; null items have no windows; an item
     without an id marks words but is not listed; repeated items count once, repeated documents each get the same
-    verdict. An empty benchmark leaves all clean. Columns of the documents stay, also ones named like benchmark columns.
+    verdict. An empty benchmark leaves all clean. Columns of the documents stay, also ones named like benchmark columns;
+    columns `verdict` and `contaminated` are replaced.
     """
     prepare(docs.sparkSession)
     judged = docs.withColumn("verdict", verdict(F.col("text"), benchmark_windows(benchmark, n)))
-    return judged.withColumn("contaminated", F.expr(f"verdict.n_hit > 0 and {one_in} * verdict.n_hit >= verdict.n_words"))
+    return judged.withColumn("contaminated", is_contaminated("verdict", one_in))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    return contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, by the rule of `contamination`; all their columns come back as given."""
+    prepare(docs.sparkSession)
+    judged = docs.withColumn("__verdict", verdict(F.col("text"), benchmark_windows(benchmark, 13)))
+    return judged.where(~is_contaminated("__verdict", 20)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

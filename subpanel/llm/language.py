@@ -162,7 +162,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learnt from rows with a lang whose crc32 of the id as text mod 4 is not 2; neither id, source nor lang is read for
     a prediction. Texts without letters (null, empty, digits) are `und` with score 0, as is everything when nothing
-    could be learnt. Repeated rows get the same; rows without an id are neither learnt from nor held out.
+    could be learnt. Repeated rows get the same; rows without an id are neither learnt from nor held out. Columns of the
+    documents stay, but ones of the three names are replaced.
     """
     prepare(docs.sparkSession)
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))

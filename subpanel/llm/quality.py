@@ -166,7 +166,8 @@ def score_column(w: np.ndarray, b: float) -> Callable[[Column], Column]:
 def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents with `quality_score` (0 to 1) and `kept`, true from `keep_from`.
 
-    Texts that are null or without words score 0. Repeated rows score alike; other columns are kept and not read.
+    Texts that are null or without words score 0. Repeated rows score alike; other columns are kept and not read, but
+    columns of the two names are replaced.
     An empty table gives an empty table.
     """
     prepare(docs.sparkSession)
@@ -175,4 +176,8 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    return classify(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that `classify` keeps; all their columns come back as given."""
+    prepare(docs.sparkSession)
+    score, _ = fit(docs, FIT_ROWS)
+    scored = docs.withColumn("__quality", score(F.col("text")))
+    return scored.where(F.col("__quality") >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])

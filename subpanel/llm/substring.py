@@ -20,14 +20,17 @@ GEAR = np.random.default_rng(6).integers(0, 1 << 16, 256, dtype=np.uint16)
 MASK = np.uint16(0xC000)
 LEAST, MOST = 24, 128
 MIN_RUN_WORDS = 12
+#: Bytes that count as a word where blanks are rarer than that.
+WORD_BYTES = 16
 CHUNKS = "d1 long, d2 int, key long"
 
 
 def boundaries(data: bytes) -> list[int]:
     """Byte places of chunk ends: word ends where the gear hash of the last 16 bytes has the mask's bits clear.
 
-    Chunks are at least LEAST bytes, and at most MOST unless one word is longer. Since the hash sees 16 bytes only,
-    an insertion moves boundaries near it and no others.
+    Inside a word of over MOST bytes (texts without blanks) every character's end may be one. Chunks are at least LEAST
+    bytes, and at most MOST, the last byte's character or word kept whole. Since the hash sees 16 bytes only, an insertion
+    moves boundaries near it and no others.
     """
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
@@ -35,6 +38,13 @@ def boundaries(data: bytes) -> list[int]:
     ends = np.flatnonzero(~blank & np.concatenate((blank[1:], [True]))) + 1  # place after each word
     if not len(ends):
         return []
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    if (ends - starts > MOST).any():
+        wide = np.zeros(n + 1, np.int8)
+        np.add.at(wide, starts[ends - starts > MOST], 1)
+        np.add.at(wide, ends[ends - starts > MOST], -1)
+        last_byte = np.concatenate(((raw[1:] & 0xC0) != 0x80, [True]))  # of a character
+        ends = np.union1d(ends, np.flatnonzero((np.cumsum(wide[:-1]) > 0) & last_byte) + 1)
     gear = GEAR[raw]
     rolled = gear.copy()
     for j in range(1, min(16, n)):
@@ -62,7 +72,7 @@ def chunks(text: str | None) -> list[tuple[int, int, int, bytes]]:
     found, start = [], 0
     for end in boundaries(data):
         words = data[start:end].split()
-        found.append((start, end, len(words), xxhash.xxh3_128_digest(b" ".join(words))[:12]))
+        found.append((start, end, max(len(words), (end - start) // WORD_BYTES), xxhash.xxh3_128_digest(b" ".join(words))[:12]))
         start = end
     return found
 
@@ -125,24 +135,30 @@ def remover(least_words: int):
     return run
 
 
+def _with_spans(docs: DataFrame, least_words: int) -> DataFrame:
+    """The documents and `__new`: the text that stays and the spans that go."""
+    prepare(docs.sparkSession)
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    later = stays_elsewhere(docs).withColumnRenamed("key", "__key").withColumnRenamed("later", "__later")
+    return keyed.join(later, "__key", "left").withColumn("__new", remover(least_words)(F.col("text"), F.col("__later")))
+
+
 def dedup(docs: DataFrame, least_words: int = MIN_RUN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out of `text`, and `removed`: byte spans of the passages in the old text.
 
     Of each chunk the document of the smallest id keeps its first occurrence; runs of other occurrences with at least
-    `least_words` words go. White space differences do not matter. Null and empty texts stay as they are; rows sharing
-    an id count as one document, so repeated rows stay alike; rows without an id are told apart by their text. Other
-    columns stay; a text that is gone entirely becomes empty. An empty table gives an empty table.
+    `least_words` words (without blanks: as many times WORD_BYTES) go. White space differences do not matter. Null and
+    empty texts stay as they are; rows sharing an id count as one document, so repeated rows stay alike; rows without an
+    id are told apart by their text. Other columns stay, but a column `removed` is replaced; a text that is gone entirely
+    becomes empty. An empty table gives an empty table.
     """
-    prepare(docs.sparkSession)
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    later = stays_elsewhere(docs).withColumnRenamed("key", "__key").withColumnRenamed("later", "__later")
-    fixed = keyed.join(later, "__key", "left").withColumn("__new", remover(least_words)(F.col("text"), F.col("__later")))
-    return fixed.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-                        F.col("__new.spans").alias("removed"))
+    columns = [F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed"]
+    return _with_spans(docs, least_words).select(*columns, F.col("__new.spans").alias("removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with repeated passages removed and n_chars renewed; those left empty by it go."""
-    found = dedup(docs).where(~(F.size("removed").cast("boolean") & (F.length("text") == 0)))
-    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    """Documents with repeated passages removed and n_chars renewed; those left empty by it go. All other columns come back as given."""
+    text, spans = F.col("__new.text"), F.col("__new.spans")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    found = _with_spans(docs, MIN_RUN_WORDS).where(~((F.size(spans) > 0) & (F.length(text) == 0)))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -209,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, flag_
 
     Labels are learnt from documents whose crc32 of the id as text mod 4 is not 2, and never read for a score. Rows
     without an id are not learnt from and not held out. Repeated rows score alike; a document with several labels is
-    learnt from once with each; other columns of the documents are kept and not read.
+    learnt from once with each; other columns of the documents are kept and not read, but ones of the three names are replaced.
     """
     prepare(docs.sparkSession)
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
