@@ -53,7 +53,7 @@ class WordEncoder:
     `remember` recent pieces are kept, and as many of the time before.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
@@ -83,16 +83,20 @@ class WordEncoder:
                 known[part] = older[part]
             return part in known
 
-        for piece in [p for p in pieces if p not in known]:
+        for piece in pieces.difference(known):
             if recall(piece):
                 continue
             core = piece.rstrip(STOPS)
-            word = core.decode().lower()
             # A word of plain letters passes normaliser and splitter unchanged: its merges are all that is left.
-            if not word.isalpha() or max(word) >= "\u0250":
-                new.append(piece)
-                continue
-            low, tail = word.encode(), piece[len(core):]
+            if core.isalpha():  # of bytes: ASCII letters
+                low = core.lower()
+            else:
+                word = core.decode().lower()
+                if not word.isalpha() or max(word) >= "\u0250":
+                    new.append(piece)
+                    continue
+                low = word.encode()
+            tail = piece[len(core):]
             if low not in known and not recall(low):
                 words.add(low)
             if tail and tail not in known and not recall(tail):
@@ -101,7 +105,8 @@ class WordEncoder:
                 split.append((piece, low, tail))
         tokenize = self.model.tokenize
         for low in words:
-            ids = [t.id for t in tokenize(low.decode("latin-1").translate(BYTE_SIGNS))]
+            signs = low.decode() if low.isascii() else low.decode("latin-1").translate(BYTE_SIGNS)
+            ids = [t.id for t in tokenize(signs)]
             known[low] = pack_ids(f"<{len(ids)}I", *ids)
         for i in range(0, len(new), 4096):
             some = new[i:i + 4096]
