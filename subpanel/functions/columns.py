@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+# Holds 22 digits before the point; sums of it keep all six places.
+MONEY = "decimal(28,6)"
 
 
 def _c(c: Column | str) -> Column:
@@ -31,6 +32,12 @@ def money0(c: Column | str) -> Column:
     return F.coalesce(_c(c).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+def lost_by_cast(c: Column | str, kind: str) -> Column:
+    """Whether a value that is present and not NaN is unreadable as this type or too wide for it."""
+    x = _c(c)
+    return x.isNotNull() & ~F.lower(F.trim(x.cast("string"))).isin("nan", "") & x.try_cast(kind).isNull()
+
+
 def to_date_dmy(c: Column | str) -> Column:
     """Date from day/month/year text, one- or two-digit; impossible dates give null."""
     return F.try_to_timestamp(_c(c), F.lit("d/M/yyyy")).cast("date")
@@ -158,13 +165,13 @@ def exact_avg(c: Column | str) -> Column:
 
 # Sums and sums of squares in fixed point, and as floating point for values that do not fit.
 MOMENTS = ["_units", "_squares", "_wide_sum", "_wide_squares"]
-_UNIT = 10_000
+_UNIT = 1_000_000
 
 
 def moments(c: Column | str) -> list[Column]:
     """Partial moments of a group, under the names in MOMENTS: they are added up to give a standard deviation.
 
-    Values are counted in units of four places, which holds a deviation of equal values at exactly 0.
+    Values are counted in units of six places, which holds a deviation of equal values at exactly 0.
     """
     x = _c(c)
     units = (x * _UNIT).try_cast("decimal(38,0)")

@@ -1,9 +1,9 @@
-"""Exact quantiles of unbounded columns.
+"""Exact quantiles of unbounded columns: sketches bracket the wanted rank, exact counts settle it.
 
-The built-in exact `percentile` keeps one entry per distinct value in a single task. That is fine
-for small domains and is used there; beyond `distinct_limit` the same answer is found by counting
-values in a few hundred equal-width intervals and refining the interval that holds the wanted rank.
-Every pass is one distributed aggregation whose result has at most `buckets` rows per column.
+The first pass sketches every column. Where more rows than `keep` lie between the two sketch points around a
+rank, the next pass counts them exactly and sketches only what lies between; otherwise the last pass counts the
+few values there one by one. Three passes serve some six billion rows, each further one a several hundred times
+larger table, and no pass brings more than a sketch or `keep` values per rank to the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,68 +26,97 @@ def _finite(name: str) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST)))
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]],
-                    distinct_limit: int = 100_000, buckets: int = 512) -> dict[str, float | None]:
-    """Linear-interpolation quantiles as {name: value} for wanted = {name: (column, q)}.
+@dataclass
+class _Search:
+    """One rank of a column, known to lie at `low`, at `high` or between; `before` rows are not above `low`."""
 
-    Reads `df` once to size the columns and at least once more for the values, so `df` should be
-    a stored table, not a long plan.
+    column: str
+    rank: int
+    before: int = 0
+    inner: int = 0
+    low: float = -math.inf
+    high: float = math.inf
+    value: float | None = None
+
+    def between(self) -> Column:
+        return (F.col(self.column) > F.lit(self.low)) & (F.col(self.column) < F.lit(self.high))
+
+    def narrow(self, sketch: list[float], margin: float) -> None:
+        """Move both ends to the sketch points around the rank, a margin of ranks apart from it."""
+        share, cells = (self.rank - self.before) / self.inner, len(sketch) - 1
+        left, right = math.floor((share - margin) * cells), math.ceil((share + margin) * cells)
+        # The first and last point of a sketch are the exact extremes.
+        self.low, self.high = sketch[max(left, 0)], sketch[min(right, cells)]
+
+    def settle(self, below: int, at_low: int, inner: int, at_high: int) -> None:
+        """Take in exact counts of the interval."""
+        if not below <= self.rank < below + at_low + inner + at_high:
+            raise ArithmeticError(f"rank {self.rank} of {self.column} lies outside its bracket")
+        self.before, self.inner = below + at_low, inner
+        if self.rank < self.before:
+            self.value = self.low
+        elif self.rank >= self.before + inner:
+            self.value = self.high
+
+
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]], keep: int = 10_000,
+                    cells: int = 1_000, accuracy: int = 10_000) -> dict[str, float | None]:
+    """Linear-interpolation quantiles as {name: value} for wanted = {name: (column, q)}; None without values.
+
+    Every pass reads `df` anew, so it should be a stored table, not a long plan. A sketch errs by at most one
+    rank in `accuracy`; the brackets leave four times that on both sides.
     """
     columns = sorted({c for c, _ in wanted.values()})
     narrow = df.select(*[_finite(c).alias(c) for c in columns])
-    sizing = narrow.agg(*[f(c).alias(f"{c}:{tag}") for c in columns for tag, f in (
-        ("n", F.count), ("lo", F.min), ("hi", F.max), ("distinct", F.approx_count_distinct))]).first()
+    points = F.lit([i / cells for i in range(cells + 1)])
+    margin = 4 / accuracy
+
+    first = narrow.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(c).alias(f"n{i}"), F.percentile_approx(c, points, accuracy).alias(f"s{i}"))]).first()
+    searches: dict[tuple[str, int], _Search] = {}
+    for c, q in wanted.values():
+        n = first[f"n{columns.index(c)}"]
+        for rank in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))} if n else ():
+            searches[c, rank] = _Search(c, rank, inner=n)
+
+    sketches = {key: first[f"s{columns.index(s.column)}"] for key, s in searches.items()}
+    while wide := {k: s for k, s in searches.items() if s.value is None and s.inner > keep}:
+        aggregates = []
+        for i, (key, s) in enumerate(wide.items()):
+            s.narrow(sketches[key], margin + 1 / s.inner)
+            x = F.col(s.column)
+            aggregates += [F.count_if(x < F.lit(s.low)).alias(f"b{i}"), F.count_if(x == F.lit(s.low)).alias(f"l{i}"),
+                           F.count_if(s.between()).alias(f"n{i}"), F.count_if(x == F.lit(s.high)).alias(f"h{i}"),
+                           F.percentile_approx(F.when(s.between(), x), points, accuracy).alias(f"s{i}")]
+        row = narrow.agg(*aggregates).first()
+        for i, (key, s) in enumerate(wide.items()):
+            s.settle(row[f"b{i}"], row[f"l{i}"], row[f"n{i}"], row[f"h{i}"])
+            sketches[key] = row[f"s{i}"]
 
-    out: dict[str, float | None] = {name: None for name in wanted}
-    small, ranks = {}, {}
+    _count_values(narrow, [s for s in searches.values() if s.value is None])
+    out: dict[str, float | None] = {}
     for name, (c, q) in wanted.items():
-        n = sizing[f"{c}:n"]
-        if n == 0:
-            continue
-        if sizing[f"{c}:distinct"] <= distinct_limit:
-            small[name] = (c, q)
-        else:
-            position = q * (n - 1)
-            ranks[name] = (c, math.floor(position), math.ceil(position), position)
-    if small:
-        row = narrow.agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in small.items()]).first()
-        out.update({name: row[name] for name in small})
-    if ranks:
-        targets = {(c, k) for c, lo, hi, _ in ranks.values() for k in (lo, hi)}
-        value = _order_statistics(narrow, {t: (sizing[f"{t[0]}:lo"], sizing[f"{t[0]}:hi"]) for t in targets}, buckets)
-        for name, (c, lo, hi, position) in ranks.items():
-            a, b = value[(c, lo)], value[(c, hi)]
-            out[name] = a if lo == hi else a * (hi - position) + b * (position - lo)
+        n = first[f"n{columns.index(c)}"]
+        position = q * (n - 1)
+        low, high = (searches[c, r(position)].value if n else None for r in (math.floor, math.ceil))
+        out[name] = low if low == high else low * (math.ceil(position) - position) + high * (position - math.floor(position))
     return out
 
 
-def _order_statistics(narrow: DataFrame, spans: dict[tuple[str, int], tuple[float, float]],
-                      buckets: int) -> dict[tuple[str, int], float]:
-    """Value at each (column, rank), ranks counted from 0."""
-    found: dict[tuple[str, int], float] = {}
-    skipped = {t: 0 for t in spans}  # number of values below the span
-    while True:
-        found.update({t: lo for t, (lo, hi) in spans.items() if lo == hi})
-        spans = {t: s for t, s in spans.items() if s[0] != s[1]}
-        if not spans:
-            return found
-        distinct_spans = sorted({(t[0], *s) for t, s in spans.items()})
-        cells = []
-        for i, (c, lo, hi) in enumerate(distinct_spans):
-            # Halved where the width of the span exceeds the largest number.
-            scale = 0.5 if math.isinf(hi - lo) else 1.0
-            share = (F.col(c) * scale - lo * scale) / (hi * scale - lo * scale)
-            cell = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-            cells.append(F.when(F.col(c).between(lo, hi), F.struct(
-                F.lit(i).alias("span"), cell.alias("cell"), F.col(c).alias("v"))))
-        counted = (narrow.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x"))
-                   .groupBy("x.span", "x.cell")
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
-                   .orderBy("span", "cell").collect())
-        for t, s in list(spans.items()):
-            i = distinct_spans.index((t[0], *s))
-            for row in (r for r in counted if r["span"] == i):
-                if skipped[t] + row["n"] > t[1]:
-                    spans[t] = (row["lo"], row["hi"])
+def _count_values(narrow: DataFrame, searches: list[_Search]) -> None:
+    """Settle ranks whose intervals hold few rows by counting each value; ranks of one interval share it."""
+    spans = sorted({(s.column, s.low, s.high) for s in searches})
+    if not spans:
+        return
+    entries = [F.when(_Search(c, 0, low=low, high=high).between(), F.struct(F.lit(i).alias("span"), F.col(c).alias("v")))
+               for i, (c, low, high) in enumerate(spans)]
+    counted = (narrow.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+               .groupBy("e.span", "e.v").agg(F.count(F.lit(1)).alias("n")).orderBy("span", "v").collect())
+    for s in searches:
+        seen, span = s.before, spans.index((s.column, s.low, s.high))
+        for row in counted:
+            if row["span"] == span:
+                seen += row["n"]
+                if seen > s.rank:
+                    s.value = row["v"]
                     break
-                skipped[t] += row["n"]

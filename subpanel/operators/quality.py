@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subpanel.functions.columns import is_true
+from subpanel.functions.columns import MONEY, is_true, lost_by_cast
 
 
 def _count_checks(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -46,6 +46,15 @@ def check_fk(child: DataFrame, parent: DataFrame, name: str, key: str = "isdn")
             .select(F.lit(name).alias("check_name"), "violations"))
 
 
+def lost_numbers(df: DataFrame, table: str, columns: Sequence[str], kind: str = MONEY) -> DataFrame:
+    """For each raw number column: values present and how many count as 0, being unreadable or too wide."""
+    found = df.agg(*[F.struct(F.count(c).alias("n_values"), F.count_if(lost_by_cast(c, kind)).alias("n_rejected")).alias(c)
+                     for c in columns])
+    return found.select(F.explode(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"{c}.n_values").alias("n_values"),
+                 F.col(f"{c}.n_rejected").alias("n_rejected")) for c in columns])).alias("r")).select("r.*")
+
+
 def union_checks(*checks: DataFrame) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

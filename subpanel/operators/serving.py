@@ -37,15 +37,34 @@ def to_serving_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     def field(f: T.StructField) -> Column:
         if f.name not in df.columns:
             return F.lit(None).cast(f.dataType).alias(f.name)
-        c = F.col(f.name)
-        if isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType)):
-            c = nan_to_null(c)
-            if isinstance(f.dataType, T.DecimalType):
-                c = c.try_cast("decimal(28,7)")
-        return c.try_cast(f.dataType).alias(f.name)
+        return _typed(df, f).alias(f.name)
     return df.select(*[field(f) for f in schema.fields])
 
 
+def _typed(df: DataFrame, f: T.StructField) -> Column:
+    c = F.col(f.name)
+    if isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType)):
+        c = nan_to_null(c)
+        if isinstance(f.dataType, T.DecimalType):
+            c = c.try_cast("decimal(38,7)")
+    return c.try_cast(f.dataType)
+
+
+def rejects(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
+    """For each typed number: values present (not null, not NaN) and how many of them the serving type cannot hold.
+
+    One aggregation over the untyped rows gives one row, which is turned into a row per column.
+    """
+    numbers = [f for f in schema.fields if f.name in df.columns and isinstance(f.dataType, (T.NumericType,))]
+    floating = lambda f: isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType))
+    present = lambda f: (nan_to_null(f.name) if floating(f) else F.col(f.name)).isNotNull()
+    found = df.agg(*[F.struct(F.count_if(present(f)).alias("n_values"),
+                              F.count_if(present(f) & _typed(df, f).isNull()).alias("n_rejected")).alias(f.name) for f in numbers])
+    return found.select(F.explode(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.col(f"{f.name}.n_values").alias("n_values"),
+                 F.col(f"{f.name}.n_rejected").alias("n_rejected")) for f in numbers])).alias("r")).select("r.*")
+
+
 def enrich(recs: DataFrame, profile: DataFrame) -> DataFrame:
     """Recommendations with the profile columns they do not have; on overlap the left side wins."""
     extra = [c for c in profile.columns if c == "isdn" or c not in recs.columns]
@@ -57,13 +76,17 @@ def publish(recs: DataFrame) -> DataFrame:
     return recs.withColumn("service_code", F.col("service_type")).withColumn("service_type", public_service("service_type"))
 
 
-def serving_recommendations(recs: DataFrame, profile: DataFrame, day: date | str | None = None,
-                            now: datetime | str | None = None) -> DataFrame:
-    df = enrich(publish(recs), profile)
-    df = df.withColumns({
+def recommendation_values(recs: DataFrame, profile: DataFrame, day: date | str | None = None,
+                          now: datetime | str | None = None) -> DataFrame:
+    """Columns of the serving table as computed, before they get their declared types."""
+    return enrich(publish(recs), profile).withColumns({
         "priority_score": priority(nulls_as_zero=False), "topup_frequency": F.col("topup_count_last_1m"),
         "recommendation_date": _today(day), "created_at": _now(now), "updated_at": _now(now)})
-    return to_serving_schema(df, SERVING_RECOMMENDATIONS)
+
+
+def serving_recommendations(recs: DataFrame, profile: DataFrame, day: date | str | None = None,
+                            now: datetime | str | None = None) -> DataFrame:
+    return to_serving_schema(recommendation_values(recs, profile, day, now), SERVING_RECOMMENDATIONS)
 
 
 def serving_profiles(profile: DataFrame, day: date | str | None = None, now: datetime | str | None = None) -> DataFrame:
@@ -151,9 +174,12 @@ def profile_documents(profile: DataFrame, monthly: DataFrame, now: datetime | st
     return df.select(*_document(F.concat(F.lit("profile:"), "isdn"), fields, at, DOCUMENT_DAYS))
 
 
-def read_document(docs: DataFrame, keys: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
-    """Documents of the given keys, whole or with some fields only."""
-    out = docs.filter(F.col("key").isin(list(keys)))
+def read_document(docs: DataFrame, keys: Sequence[str] | DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Documents of the given keys, whole or with some fields only. Keys are a list or a DataFrame with column `key`."""
+    if isinstance(keys, DataFrame):
+        out = docs.join(keys.select("key"), "key", "left_semi")
+    else:
+        out = docs.filter(F.col("key").isin(list(keys)))
     if fields is None:
         return out
     return out.withColumn("fields", F.map_filter("fields", lambda k, v: k.isin(list(fields))))
@@ -204,9 +230,9 @@ def cardinality(index: DataFrame, column: str) -> DataFrame:
 
 
 def sample_risk(recs: DataFrame, risk: str, n: int = 100, seed: int = 42) -> DataFrame:
-    """Repeatable random sample of a risk set, without replacement."""
+    """Repeatable random sample of a risk set, without replacement: the smallest digests of id and seed."""
     return (recs.filter(F.col("bad_debt_risk") == risk).select("bad_debt_risk", "isdn")
-            .orderBy(F.xxhash64("isdn", F.lit(seed)), "isdn").limit(n))
+            .orderBy(F.md5(F.concat("isdn", F.lit(str(seed)))), "isdn").limit(n))
 
 
 # --- lists ----------------------------------------------------------------------------------
@@ -264,18 +290,10 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0, after: str | None = No
             .withColumns({"total": total, "has_more": remaining > offset + limit, "pages": F.ceil(total / limit)}))
 
 
-SMALL_LIST = 10_000
-
-
 def bulk_lookup(recs: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
-    """Recommendations of many ids; absent ids are skipped.
-
-    A Python list is broadcast up to 10,000 ids, the size such lookups have; longer lists and
-    DataFrames are joined the way their size suggests.
-    """
+    """Recommendations of many ids; absent ids are skipped. The size of the list decides the join."""
     if not isinstance(ids, DataFrame):
-        wanted = recs.sparkSession.createDataFrame([(i,) for i in ids], "isdn string")
-        return recs.join(F.broadcast(wanted) if len(ids) <= SMALL_LIST else wanted, "isdn", "left_semi")
+        ids = recs.sparkSession.createDataFrame([(i,) for i in ids], "isdn string")
     return recs.join(ids.select("isdn"), "isdn", "left_semi")
 
 

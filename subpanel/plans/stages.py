@@ -52,17 +52,19 @@ class Stages:
         self.day, self.now, self.buckets = day, now, buckets
         self.ref_date = ref_date or f"{month[:4]}-{month[4:6]}-01"
         self.model: segment.SegmentModel | None = None
+        self._quantiles: dict[str, float | None] | None = None
         self._done: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
     def stored(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (),
-               spread: bool = False) -> DataFrame:
+               spread: bool = False, point_reads: bool = False) -> DataFrame:
         with self._lock:
             if name not in self._done:
                 location, df = f"{self.path}/{name}", build()
                 if self.buckets:
                     table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
-                    df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread)
+                    df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread,
+                                               point_reads)
                 else:
                     tables.write_table(df, location, partition_by)
                     # The schema is known, so reading back infers neither it nor the type of partition values.
@@ -76,8 +78,19 @@ class Stages:
     def master(self) -> DataFrame:
         return self.stored("master", self._build_master, ["data_month"], spread=True)
 
+    def quantiles(self) -> dict[str, float | None]:
+        """Thresholds over the whole master, fitted once and stored as one row."""
+        with self._lock:
+            if self._quantiles is None:
+                found, location = feat.global_quantiles(self.master()), f"{self.path}/quantiles"
+                schema = ", ".join(f"{name} double" for name in found)
+                tables.write_table(self.spark.createDataFrame([tuple(found.values())], schema), location)
+                self._quantiles = tables.read_table(self.spark, location, schema=schema).first().asDict()
+            return self._quantiles
+
     def features(self) -> DataFrame:
-        return self.stored("features", lambda: feat.build_features(self.master(), self.ref_date), ["data_month"])
+        return self.stored("features", lambda: feat.build_features(
+            self.master(), self.ref_date, self.quantiles()), ["data_month"])
 
     def advance_users(self) -> DataFrame:
         return segment.advance_users(self.features())
@@ -126,9 +139,11 @@ class Stages:
         """The three typed serving tables."""
         return Store(
             self.stored("serving_recommendations", lambda: serving.serving_recommendations(
-                self.final(), self.profiles(), self.day, self.now)),
-            self.stored("serving_profiles", lambda: serving.serving_profiles(self.profiles(), self.day, self.now)),
-            self.stored("serving_monthly", lambda: serving.serving_monthly(self.monthly(), self.now)))
+                self.final(), self.profiles(), self.day, self.now), point_reads=True),
+            self.stored("serving_profiles", lambda: serving.serving_profiles(self.profiles(), self.day, self.now),
+                        point_reads=True),
+            self.stored("serving_monthly", lambda: serving.serving_monthly(self.monthly(), self.now),
+                        point_reads=True))
 
     def summaries(self) -> dict[str, DataFrame]:
         """One JSON document per phase."""
@@ -143,6 +158,9 @@ class Stages:
         """The files other systems read: target lists, offers whole and by service, and summaries."""
         segments, scored, final = self.segments(), self.scored(), self.final()
         inertia = self.model.cost if self.model else None
+        if self.model:
+            # A later month is scored with the same clusters from this folder (`segment.load_model`).
+            segment.save_model(self.model, segment.rank_clusters(segments), f"{path}/model")
         tables.write_csv(segment.expansion_targets(segments, "high"), f"{path}/expansion_group2_similar_high_priority")
         tables.write_csv(segment.expansion_targets(segments, "medium"), f"{path}/expansion_group2_medium_priority")
         tables.write_csv(segment.expansion_targets(segments, "all"), f"{path}/expansion_group2_all_targets")

@@ -79,7 +79,7 @@ def _type(name: str) -> T.DataType:
     if name.startswith("decimal"):
         precision, scale = name[len("decimal("):-1].split(",")
         return T.DecimalType(int(precision), int(scale))
-    return {"string": T.StringType(), "int": T.IntegerType(), "date": T.DateType(),
+    return {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "date": T.DateType(),
             "timestamp": T.TimestampType()}[name]
 
 
@@ -168,7 +168,7 @@ SERVING_MONTHLY = _fields(
 SERVING_STATS = _fields(
     ("dimension_type", "string", False),
     ("dimension_value", "string", False),
-    ("total_count", "int", True),
+    ("total_count", "bigint", True),
     ("total_advance_amount", "decimal(30,2)", True),
     ("total_revenue_potential", "decimal(30,2)", True),
     ("avg_customer_value_score", "decimal(22,2)", True),

@@ -60,6 +60,21 @@ def list_source_files(spark: SparkSession, root: str, sources: Sequence[str] = t
     return out.join(out.groupBy("source").agg(F.count(F.lit(1)).alias("file_count")), "source")
 
 
+def table_inventory(spark: SparkSession, root: str, tables: Sequence[str]) -> DataFrame:
+    """Stored tables below root: files, rows, size and last change, from file metadata; an empty table gives no row.
+
+    No data column is read: rows are counted from the footers, files are grouped before tables.
+    """
+    parts = [spark.read.parquet(f"{root}/{t}.parquet").select(
+        F.lit(t).alias("table_name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified")) for t in tables]
+    by_file = (reduce(DataFrame.unionByName, parts).groupBy("table_name", "path", "size", "modified")
+               .agg(F.count(F.lit(1)).alias("n")))
+    return by_file.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("n").alias("row_count"),
+        half_even(F.sum("size") / (1024 * 1024), 2).alias("size_mb"), F.max("modified").alias("modified"))
+
+
 def source_counts(spark: SparkSession, root: str, sources: Sequence[str] = tuple(INVENTORY_SOURCES)) -> DataFrame:
     """Every known source with its number of files, 0 for an absent or empty folder."""
     known = spark.createDataFrame([(s,) for s in sources], "source string")

@@ -77,21 +77,21 @@ def test_feature_catalog(stages):
 def test_refined_quantile_equals_the_sorted_one(spark, xs, q):
     df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double").coalesce(2)
     want = float(np.quantile(np.array(xs), q))
-    assert exact_quantiles(df, {"q": ("x", q)}, distinct_limit=0, buckets=4)["q"] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert exact_quantiles(df, {"q": ("x", q)}, keep=0, cells=4)["q"] == pytest.approx(want, rel=1e-9, abs=1e-9)
 
 
 def test_quantiles_with_one_value_owning_most_rows(spark):
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.5).alias("x"),
                                    F.lit(7.0).alias("same"))
     wanted = {"a": ("x", 0.2), "b": ("x", 0.75), "c": ("same", 0.5)}
-    assert exact_quantiles(df, wanted, distinct_limit=0, buckets=16) == exact_quantiles(df, wanted)
+    assert exact_quantiles(df, wanted, keep=0, cells=16) == exact_quantiles(df, wanted)
 
 
 def test_quantiles_of_extreme_values(spark):
     xs = [float("-inf"), -1e308, 1.0, 2.0, 3.0, 1e308, float("inf"), float("nan"), 0.0, 5e-324]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for k, want in enumerate([-1.7976931348623157e308, -1e308, 0.0, 5e-324, 1.0, 2.0, 3.0, 1e308, 1.7976931348623157e308]):
-        assert exact_quantiles(df, {"q": ("x", k / 8)}, distinct_limit=0, buckets=4)["q"] == want
+        assert exact_quantiles(df, {"q": ("x", k / 8)}, keep=0, cells=4)["q"] == want
 
 
 def test_quantiles_of_nothing(spark):

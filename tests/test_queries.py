@@ -14,7 +14,7 @@ from tests.compare import connect, difference
 from tests.conftest import values
 
 SQLS = entry.oracle_sql()
-ROWS_ONLY = {"kmeans_segments", "sample_risk"}
+ROWS_ONLY = {"kmeans_segments"}
 
 
 @pytest.fixture(scope="module")
