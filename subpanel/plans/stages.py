@@ -22,6 +22,7 @@ from subpanel.operators.params import ClusterParams, OfferParams, RiskParams
 from subpanel.plans import reports
 from subpanel.plans.catalogue import Store
 from subpanel.schemas import LATEST_MONTH
+from subpanel.session import shuffling_into
 from subpanel.sources import tables
 
 # Fixed centroids on the standardised scale, for segments that do not depend on a random start.
@@ -38,6 +39,7 @@ class Stages:
     buckets: number of files by subscriber of each stage table; give about one per 200 MB of
     the largest table; None writes plain tables.
     ref_date: day up to which tenure counts, by default the first of `month`.
+    shuffles: partitions that stages shuffle into at least; None leaves the session's setting.
     """
 
     def __init__(self, spark: SparkSession, extracts: Callable[[], Mapping[str, DataFrame]], path: str,
@@ -45,11 +47,11 @@ class Stages:
                  targets: str = "segments", offer_params: OfferParams = OfferParams(),
                  risk_params: RiskParams = RiskParams(), cluster_params: ClusterParams = ClusterParams(),
                  day: date | str | None = None, now: datetime | str | None = None, buckets: int | None = 8,
-                 ref_date: str | None = None):
+                 ref_date: str | None = None, shuffles: int | None = None):
         self.spark, self.extracts, self.path, self.month = spark, extracts, path.rstrip("/"), month
         self.centroids, self.target_mode = centroids, targets
         self.offer_params, self.risk_params, self.cluster_params = offer_params, risk_params, cluster_params
-        self.day, self.now, self.buckets = day, now, buckets
+        self.day, self.now, self.buckets, self.shuffles = day, now, buckets, shuffles
         self.ref_date = ref_date or f"{month[:4]}-{month[4:6]}-01"
         self.model: segment.SegmentModel | None = None
         self._quantiles: dict[str, float | None] | None = None
@@ -60,18 +62,19 @@ class Stages:
                spread: bool = False, point_reads: bool = False) -> DataFrame:
         with self._lock:
             if name not in self._done:
-                location, df = f"{self.path}/{name}", build()
-                if self.buckets:
-                    table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
-                    df = tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread,
-                                               point_reads)
-                else:
-                    tables.write_table(df, location, partition_by)
-                    # The schema is known, so reading back infers neither it nor the type of partition values.
-                    df = tables.read_table(self.spark, location, schema=df.schema)
-                self._done[name] = df
+                with shuffling_into(self.spark, self.shuffles):
+                    self._done[name] = self._write(f"{self.path}/{name}", name, build(), partition_by, spread, point_reads)
             return self._done[name]
 
+    def _write(self, location: str, name: str, df: DataFrame, partition_by: Sequence[str], spread: bool,
+               point_reads: bool) -> DataFrame:
+        if self.buckets:
+            table = f"subpanel_{zlib.crc32(self.path.encode()):08x}_{name}"
+            return tables.write_bucketed(df, location, table, "isdn", self.buckets, partition_by, spread, point_reads)
+        tables.write_table(df, location, partition_by)
+        # The schema is known, so reading back infers neither it nor the type of partition values.
+        return tables.read_table(self.spark, location, schema=df.schema)
+
     def _build_master(self) -> DataFrame:
         return mst.master_of(dict(self.extracts()))
 

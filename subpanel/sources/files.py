@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from subpanel.functions.columns import half_even, month_from_name
 from subpanel.schemas import INVENTORY_SOURCES, SOURCE_COLUMNS
+from subpanel.session import setting
 
 
 # Texts that stand for a missing value in the extracts.
@@ -21,6 +22,10 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
            "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+#: Files that a task writes side by side; rows of further months are sorted.
+OPEN_MONTHS = 32
+
+
 def _entry(path: Column) -> Column:
     """A monthly file, or the folder that holds its part files."""
     part = F.element_at(F.split(path, "/"), -1).startswith("part-")
@@ -164,7 +169,11 @@ def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None =
 
 
 def write_extract(df: DataFrame, root: str, source: str) -> None:
-    """One folder of part files per month, in a single write, named so that `read_source` finds them."""
+    """One folder of part files per month, in a single write, named so that `read_source` finds them.
+
+    A task keeps the files of its months open side by side, so it need not sort its rows by month.
+    """
     folder = f"{source}_month"
-    (df.filter(F.col("data_month").isNotNull()).withColumnRenamed("data_month", folder)
-     .write.mode("overwrite").option("header", True).partitionBy(folder).csv(f"{root}/{source}"))
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_MONTHS):
+        (df.filter(F.col("data_month").isNotNull()).withColumnRenamed("data_month", folder)
+         .write.mode("overwrite").option("header", True).partitionBy(folder).csv(f"{root}/{source}"))

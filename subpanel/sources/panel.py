@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from subpanel.functions.columns import MONEY
 from subpanel.schemas import MONTHS
-from subpanel.sources.star import SALT, Star, star
+from subpanel.session import parts_for
+from subpanel.sources.star import Star, star
 
 FIRST_YEAR = 1996
 #: Months of the subscriber rows: the year before the first of MONTHS has orders too.
 PANEL_MONTHS = [str(int(MONTHS[0]) - 1), *MONTHS]
+#: Subscriber-months of one stored file or task.
+MONTHS_PER_PART = 150_000
 
 
 @lru_cache(maxsize=256)
@@ -26,6 +29,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=256)
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, from the footers of its files."""
+    return _table(spark, sf_dir, name).count()
+
+
+def fact_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Shuffle partitions for the rows of the largest table."""
+    return parts_for(spark, max(_rows(spark, sf_dir, t) for t in ("lineitem", "orders", "events")))
+
+
+def month_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Files for the subscriber-months, which are wide rows."""
+    return parts_for(spark, _rows(spark, sf_dir, "customer") * len(PANEL_MONTHS), MONTHS_PER_PART)
+
+
 def _month_of_year(year: Column) -> Column:
     return (F.lit(int(MONTHS[0])) + year - FIRST_YEAR).cast("string")
 
@@ -35,13 +54,20 @@ def _month(c: str) -> Column:
 
 
 def _star(spark: SparkSession, sf_dir: str) -> Star:
-    return star(spark, sf_dir, lambda name: _table(spark, sf_dir, name))
+    return star(spark, sf_dir, lambda name: _table(spark, sf_dir, name), fact_parts(spark, sf_dir))
 
 
 def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscriber rows, one per customer and month, dates as day/month/year text."""
+    """Subscriber rows, one per customer and month, dates as day/month/year text.
+
+    Customers may all lie in one file, whose only task would sort all rows of all months. So they are dealt out first,
+    by subscriber, which keeps the rows of a key together.
+    """
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    if _rows(spark, sf_dir, "customer") * len(PANEL_MONTHS) > MONTHS_PER_PART:
+        customer = customer.repartition(month_parts(spark, sf_dir), "c_name")
     started = F.date_add(F.lit("2021-01-01").cast("date"), ((F.col("c_custkey") * 37) % 1700).cast("int"))
-    return _table(spark, sf_dir, "customer").select(
+    return customer.select(
         F.col("c_name").alias("isdn"),
         F.when(F.col("c_mktsegment") == "MACHINERY", "POS").otherwise("PRE").alias("subscriber_type"),
         F.when(F.col("c_nationkey") % 5 == 0, "DEACT").otherwise("ACTIF").alias("subscriber_status"),
@@ -53,13 +79,13 @@ def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARPU rows, one per order of a subscriber in a month, so several per key."""
-    v = (F.col("l_quantity") * F.col("l_discount") * 1000).cast("decimal(8,2)")
+    v = F.col("usage").cast("decimal(8,2)")
     zero = F.lit(0).cast("decimal(8,2)")
     part = lambda letter: F.sum(F.when(F.col("l_returnflag") == letter, F.col("v")).otherwise(zero))
     factor = F.when(F.col("c_custkey") % 7 == 0, 12).otherwise(1)
     sums = ["arpu_call", "arpu_sms", "arpu_data", "arpu_total"]
-    # The stored lines lie by customer and salt, and an order has one of each, so its sums need no shuffle.
-    order = ["isdn", SALT, "c_custkey", "l_orderkey", "year"]
+    # The stored lines lie by order, so its sums need no shuffle.
+    order = ["isdn", "c_custkey", "l_orderkey", "year"]
     return (_star(spark, sf_dir).lines()
             .select(*order[:-1], F.year("l_shipdate").alias("year"), "l_returnflag", v.alias("v"))
             .groupBy(*order)
@@ -91,7 +117,7 @@ def n4(spark: SparkSession, sf_dir: str) -> DataFrame:
     A line is booked on the payer of its customer, so all lines are read, and two thirds of the subscribers never advance.
     """
     service = F.element_at(F.array(*[F.lit(s) for s in ("EasyCredit", "ungdata247", "MBFG", "UT_SPLUS")]),
-                           (F.col("l_suppkey") % 4 + 1).cast("int"))
+                           F.col("service") + 1)
     source = F.when(F.col("l_returnflag") == "A", "ut").when(F.col("l_returnflag") == "R", "hu").otherwise("oth")
     return (_star(spark, sf_dir).lines().where(F.col("payer").isNotNull())
             .select(F.col("payer").alias("isdn"), _month("l_shipdate").alias("data_month"),

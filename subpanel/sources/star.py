@@ -2,20 +2,21 @@
 
 All extracts of lines and orders are projections of these stored tables, so the large tables are scanned and shuffled
 for their joins once. A customer may own a large share of all orders. Such customers are found first (fewer than there
-are partitions, whatever the data), their rows get one of several salts, and tables are cut by customer and salt. So no
-join task and no file holds a whole hot customer, and a reduction by customer and month adds up partial sums of the
-salts: first within each file, then over the files.
+are partitions, whatever the data), their rows get one of several salts, and orders and events are cut by customer and
+salt. So no join task and no file holds a whole hot customer, and a reduction by customer and month adds up partial sums
+of the salts: first within each file, then over the files. Lines stay where the join with their orders put them, cut by
+order, which has few lines.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subpanel.session import work_dir
+from subpanel.session import shuffling_into, work_dir
 from subpanel.sources import tables
 
 SALT = "_salt"
@@ -56,13 +57,18 @@ def booked_orders(orders: DataFrame, customer: DataFrame, parts: int) -> DataFra
 
 
 def booked_lines(lineitem: DataFrame, booked: DataFrame, part: DataFrame) -> DataFrame:
-    """Lines with their customer, payer and part: an order has few lines, so this join has no hot key."""
-    lines = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
-                            "l_returnflag", "l_linestatus", "l_shipdate")
+    """Lines with their customer, payer and part, usage (quantity x discount x 1000) and service (0 to 3, by supplier).
+
+    An order has few lines, so the join with orders has no hot key. Parts come first, while the rows are still without the ids of customer and payer. The join with orders comes last and
+    leaves the lines of an order together.
+    """
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
+                            (F.col("l_quantity") * F.col("l_discount") * 1000).alias("usage"),
+                            (F.col("l_suppkey") % 4).cast("int").alias("service"))
     parts = part.select("p_partkey", "p_brand", "p_retailprice", "p_size")
-    owner = booked.select("o_orderkey", "c_custkey", "isdn", "payer", SALT)
-    return (lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").drop("l_partkey"))
+    owner = booked.select("o_orderkey", "c_custkey", "isdn", "payer")
+    return (lines.where(F.col("l_orderkey").isNotNull()).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").drop("l_partkey")
+            .join(owner, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
 
 
 def booked_usage(events: DataFrame, customer: DataFrame, parts: int) -> DataFrame:
@@ -71,24 +77,26 @@ def booked_usage(events: DataFrame, customer: DataFrame, parts: int) -> DataFram
 
 
 class Star:
-    """The three stored tables of one data folder, each built on first use and cut by customer and salt."""
+    """The three stored tables of one data folder, each built on first use: orders and events cut by customer and salt,
+    lines by order, all into `parts` files, which is also what their joins shuffle into."""
 
     def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], path: str, parts: int):
         self.spark, self.read, self.path, self.parts = spark, read, path, parts
         self._done: dict[str, DataFrame] = {}
 
-    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _stored(self, name: str, build: Callable[[], DataFrame], keys: Sequence[str] = ("isdn", SALT)) -> DataFrame:
         if name not in self._done:
             path = f"{self.path}/{name}"
             table = f"subpanel_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{name}"
-            self._done[name] = tables.write_bucketed(build(), path, table, ["isdn", SALT], self.parts, spread=True)
+            with shuffling_into(self.spark, self.parts):
+                self._done[name] = tables.write_bucketed(build(), path, table, keys, self.parts, spread=True)
         return self._done[name]
 
     def orders(self) -> DataFrame:
         return self._stored("booked_orders", lambda: booked_orders(self.read("orders"), self.read("customer"), self.parts))
 
     def lines(self) -> DataFrame:
-        return self._stored("booked_lines", lambda: booked_lines(self.read("lineitem"), self.orders(), self.read("part")))
+        return self._stored("booked_lines", lambda: booked_lines(self.read("lineitem"), self.orders(), self.read("part")), ["l_orderkey"])
 
     def usage(self) -> DataFrame:
         return self._stored("booked_usage", lambda: booked_usage(self.read("events"), self.read("customer"), self.parts))
@@ -97,10 +105,10 @@ class Star:
 _stars: dict[tuple[str, str], Star] = {}
 
 
-def star(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame]) -> Star:
-    """The star of a data folder, kept for the session; cut into as many files as a shuffle has partitions."""
+def star(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame], parts: int) -> Star:
+    """The star of a data folder, kept for the session; cut into `parts` files."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stars:
         path = f"{work_dir(spark)}/star-{hashlib.sha256(sf_dir.encode()).hexdigest()[:24]}"
-        _stars[key] = Star(spark, read, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _stars[key] = Star(spark, read, path, parts)
     return _stars[key]

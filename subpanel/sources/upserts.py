@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subpanel.session import shuffling_into
 from subpanel.sources import merge
 
 _PART = "_part"
@@ -48,8 +49,9 @@ class FolderTable:
         return self.spark.read.schema(schema).parquet(self.path)
 
     def _write(self, df: DataFrame, mode: str) -> None:
-        (df.repartition(F.col(self.folder), self._slot()).write.mode(mode).option("compression", "snappy")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(self.folder).parquet(self.path))
+        with shuffling_into(self.spark, self.parts):
+            (df.repartition(F.col(self.folder), self._slot()).write.mode(mode).option("compression", "snappy")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(self.folder).parquet(self.path))
         self.spark.catalog.refreshByPath(self.path)
 
     def create(self, df: DataFrame) -> None:
