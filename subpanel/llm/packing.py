@@ -19,12 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subpanel.llm.common import map_arrow, small_batches, written
+from subpanel.llm.common import give_back, map_arrow, small_batches, written
+from subpanel.session import setting
 
 LENGTH = 2048
 END_ID = 1
 MAX_QUEUES = 1024
 MAX_BROADCAST_ROWS = 200_000
+#: Documents that an executor sends to a worker at a time.
+BATCH_ROWS = 1000
 #: Runs of these after a word are a token run of their own.
 STOPS = b".,;:!?*#%$&()[]{}-_/+=~^@"
 
@@ -126,6 +129,12 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Drop the encoders of this worker with all that they remember, for stages after the encoding."""
+    _ENCODERS.clear()
+    give_back()
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Stored token table: part (task), queue (source), before (tokens of that queue earlier in the part), doc_id, n, ids."""
     schema = pa.schema([("part", pa.int32()), ("queue", pa.string()), ("before", pa.int64()), ("doc_id", pa.int64()),
@@ -144,7 +153,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return written(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"), run, TOKENS), "tokens")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        return written(map_arrow(rows, run, TOKENS), "tokens")
 
 
 class Plan:
@@ -231,6 +242,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, max_que
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         plan, crc = Plan(totals, length), zlib.crc32
         for batch in small_batches(batches):
             docs, queues = batch.column(0), batch.column(1)
