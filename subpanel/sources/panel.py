@@ -97,11 +97,10 @@ def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package purchases, one per line with a known part."""
-    return (_star(spark, sf_dir).lines().where(F.col("p_partkey").isNotNull())
-            .select("isdn", _month("l_shipdate").alias("data_month"), F.col("p_brand").alias("package_code"),
-                    (F.col("p_retailprice") * 30).alias("package_price"),
-                    F.col("p_size").alias("package_cycle"),
-                    F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("package_renewal_datetime")))
+    return _star(spark, sf_dir).packages().select(
+        "isdn", _month_of_year(F.col("year")).alias("data_month"), F.col("p_brand").alias("package_code"),
+        (F.col("p_retailprice") * 30).alias("package_price"), F.col("p_size").alias("package_cycle"),
+        F.col("renewal").alias("package_renewal_datetime"))
 
 
 def n3(spark: SparkSession, sf_dir: str) -> DataFrame:

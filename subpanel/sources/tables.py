@@ -22,9 +22,14 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Full refresh of a Snappy Parquet table."""
-    df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+#: Rows of a file whose rows are so small when packed that a read by bytes would give millions of them to one task.
+ROWS_PER_FILE = 100_000
+
+
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str = "snappy",
+                rows_per_file: int = 0) -> None:
+    """Full refresh of a Parquet table, packed with Snappy if nothing else is said; 0 rows per file is no limit."""
+    df.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by).parquet(path)
 
 
 def write_bucketed(df: DataFrame, path: str, table: str, key: str | Sequence[str], buckets: int,
@@ -47,10 +52,10 @@ def write_bucketed(df: DataFrame, path: str, table: str, key: str | Sequence[str
     return df.sparkSession.table(table)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, compression: str = "snappy", rows_per_file: int = 0) -> DataFrame:
     """Store a frame in the shared folder and read it back: cuts lineage, and every later reader sees the same rows."""
     path = f"{work_dir(df.sparkSession)}/kept/{name}-{uuid.uuid4().hex[:16]}"
-    write_table(df, path)
+    write_table(df, path, (), compression, rows_per_file)
     return read_table(df.sparkSession, path, schema=df.schema)
 
 

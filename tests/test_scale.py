@@ -91,3 +91,35 @@ def test_months_are_written_without_a_sort(spark, tmp_path):
     assert spark.conf.get(name) == before
     back = files.read_source(spark, str(tmp_path), "N5")
     assert back.count() == 1000 and back.select("data_month").distinct().count() == 12
+
+
+def test_star_is_stored_where_its_joins_leave_the_rows(spark, tmp_path, monkeypatch):
+    """Orders and events were shuffled once more by the customer's id, lines moved with the columns of their parts."""
+    d = _tables(spark, tmp_path)
+    monkeypatch.setattr(panel, "fact_parts", lambda spark, sf_dir: parts_for(spark, 181, 10))
+    found, write = {}, star.tables.write_bucketed
+
+    def spy(df, path, table, key, buckets, *args, **kwargs):
+        found[path.split("/")[-1]] = df.columns, plan(df.repartition(buckets, *key))
+        return write(df, path, table, key, buckets, *args, **kwargs)
+
+    monkeypatch.setattr(star, "tables", SimpleNamespace(write_bucketed=spy))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        assert panel.n4(spark, d).count() == 180 and panel.n3(spark, d).count() == 60
+    assert set(found) == {"booked_orders", "booked_lines", "booked_usage"}
+    assert not any("REPARTITION_BY_NUM" in text for _, text in found.values())
+    assert not {"p_brand", "p_retailprice", "p_size"} & set(found["booked_lines"][0])
+
+
+def test_a_line_counts_once_per_row_of_its_part(spark, tmp_path):
+    d = _tables(spark, tmp_path)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    part.unionByName(part.where("p_partkey = 1")).write.parquet(f"{d}/twice.parquet")
+    twice = SimpleNamespace(orders="orders", lineitem="lineitem", customer="customer", part="twice", events="events")
+    table = panel._table
+    try:
+        panel._table = lambda spark, sf_dir, name: spark.read.parquet(f"{d}/{getattr(twice, name)}.parquet")
+        n1, n2, n4 = panel.n1(spark, d), panel.n2(spark, d), panel.n4(spark, d)
+        assert n4.count() == 180 + 36 and n2.count() == 180 - 36 + 36 and n1.count() == 60
+    finally:
+        panel._table = table
