@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from subpanel.functions.columns import half_even, month_from_name
 from subpanel.schemas import INVENTORY_SOURCES, SOURCE_COLUMNS
 from subpanel.session import setting
+from subpanel.sources.tables import ROWS_PER_FILE
 
 
 # Texts that stand for a missing value in the extracts.
@@ -28,19 +29,18 @@ OPEN_MONTHS = 32
 
 def _entry(path: Column) -> Column:
     """A monthly file, or the folder that holds its part files."""
-    part = F.element_at(F.split(path, "/"), -1).startswith("part-")
-    return F.when(part, F.regexp_extract(path, "^(.*)/[^/]+$", 1)).otherwise(path)
+    return F.when(_name(path).startswith("part-"), F.regexp_extract(path, "^(.*)/[^/]+$", 1)).otherwise(path)
 
 
 def _name(entry: Column) -> Column:
-    return F.element_at(F.split(entry, "/"), -1)
+    return F.substring_index(entry, "/", -1)
 
 
 def _listing(spark: SparkSession, root: str, source: str) -> DataFrame | None:
     """Files of one source, None when its folder is absent. Reads the listing, not the contents."""
     try:
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                 .option("pathGlobFilter", "*.csv").load(f"{root}/{source}"))
+                 .option("pathGlobFilter", "{*.csv,part-*.csv.gz}").load(f"{root}/{source}"))
     except PySparkException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -107,8 +107,14 @@ def months_found(spark: SparkSession, root: str, source: str) -> list[str]:
 
 
 def with_data_month(df: DataFrame) -> DataFrame:
-    """Tag rows with the month in the name of the file or folder they come from."""
-    return df.select("*", month_from_name(_name(_entry(F.col("_metadata.file_path")))).alias("data_month"))
+    """Tag rows with the month in the name of the file or folder they come from.
+
+    This is worked out for every row, so the name is cut out by plain text functions.
+    """
+    path = F.col("_metadata.file_path")
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.when(_name(path).startswith("part-"), folder).otherwise(_name(path))
+    return df.select("*", month_from_name(name).alias("data_month"))
 
 
 def _header(spark: SparkSession, path: str, on_error: str) -> tuple[str, ...]:
@@ -171,9 +177,11 @@ def read_extracts(spark: SparkSession, root: str, months: Sequence[str] | None =
 def write_extract(df: DataFrame, root: str, source: str) -> None:
     """One folder of part files per month, in a single write, named so that `read_source` finds them.
 
-    A task keeps the files of its months open side by side, so it need not sort its rows by month.
+    A task keeps the files of its months open side by side, so it need not sort its rows by month. Part files are packed
+    with gzip, as texts are many times larger; such a file is read by one task, so it holds few rows.
     """
     folder = f"{source}_month"
     with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_MONTHS):
         (df.filter(F.col("data_month").isNotNull()).withColumnRenamed("data_month", folder)
-         .write.mode("overwrite").option("header", True).partitionBy(folder).csv(f"{root}/{source}"))
+         .write.mode("overwrite").option("header", True).option("compression", "gzip")
+         .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(folder).csv(f"{root}/{source}"))

@@ -123,3 +123,17 @@ def test_a_line_counts_once_per_row_of_its_part(spark, tmp_path):
         assert n4.count() == 180 + 36 and n2.count() == 180 - 36 + 36 and n1.count() == 60
     finally:
         panel._table = table
+
+
+def test_files_of_small_packed_rows_hold_few_of_them(spark, tmp_path, monkeypatch):
+    """A packed CSV file is read by one task, so its rows are bounded; other packed files are no extracts."""
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 100)
+    df = spark.range(0, 1000, 1, 1).select(F.col("id").cast("string").alias("isdn"), F.lit("202503").alias("data_month"))
+    files.write_extract(df, str(tmp_path), "N5")
+    parts = sorted((tmp_path / "N5").rglob("*.csv*"))
+    packed = [p for p in parts if not p.name.startswith(".")]
+    assert len(packed) == 10 and all(p.name.endswith(".csv.gz") for p in packed)
+    (tmp_path / "N5" / "N5_202504.csv.gz").write_bytes(packed[0].read_bytes())
+    back = files.read_source(spark, str(tmp_path), "N5")
+    assert back.count() == 1000 and [r[0] for r in back.select("data_month").distinct().collect()] == ["202503"]
+    assert files.list_source_files(spark, str(tmp_path), ["N5"]).select("name").distinct().count() == 1
