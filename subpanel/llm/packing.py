@@ -15,6 +15,7 @@ from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ LENGTH = 2048
 END_ID = 1
 MAX_QUEUES = 1024
 MAX_BROADCAST_ROWS = 200_000
-#: Documents that an executor sends to a worker at a time.
+#: Documents that an executor sends to a worker at a time, and bytes of text that are encoded together.
 BATCH_ROWS = 1000
+BATCH_BYTES = 2_000_000
 #: Runs of these after a word are a token run of their own.
 STOPS = b".,;:!?*#%$&()[]{}-_/+=~^@"
 
@@ -48,75 +50,71 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Pieces(dict[bytes, bytes]):
+    """Ids of pieces between ASCII white space, as little-endian unsigned 32-bit values, worked out when first asked for.
+
+    Of a word, case does not matter and a tail of stops is a token run of its own. `older` holds what was known before.
+    """
+
+    def __init__(self, tokenizer, older: dict[bytes, bytes]):
+        super().__init__({b"": b""})
+        self.tokenizer, self.tokenize, self.older = tokenizer, tokenizer.model.tokenize, older
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        self[piece] = ids = self.ids_of(piece) if ids is None else ids
+        return ids
+
+    def ids_of(self, piece: bytes) -> bytes:
+        core = piece.rstrip(STOPS)
+        # A word of plain letters passes normaliser and splitter unchanged: its merges are all that is left.
+        if core.isalpha():  # of bytes: ASCII letters
+            low = core.lower()
+        else:
+            word = core.decode().lower()
+            if not word.isalpha() or max(word) >= "\u0250":
+                ids = self.tokenizer.encode_batch_fast([piece.decode()], add_special_tokens=False)[0].ids
+                return pack_ids(f"<{len(ids)}I", *ids)
+            low = word.encode()
+        if low != piece:
+            return self[low] + self[piece[len(core):]]
+        signs = low.decode() if low.isascii() else low.decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.tokenize(signs)]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit values, remembering pieces between ASCII white space.
+    """Ids of texts as little-endian unsigned 32-bit values, remembering pieces between ASCII white space.
 
     Normaliser, splitter and merges of the tokenizer never look across white space, so a text's ids are those of its
-    pieces in order. Of a word, case does not matter and a tail of stops is a token run of its own. About
-    `remember` recent pieces are kept, and as many of the time before.
+    pieces in order. About `remember` recent pieces are kept, and as many of the time before.
     """
 
     def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = Pieces(self.tokenizer, {})
 
     def encode(self, text: str | None) -> bytes:
-        data = (text or "").encode("utf-8", "replace")
-        if data.isascii() and b"<|" not in data:  # names of special tokens are case-sensitive
-            data = data.lower()
-        pieces = data.split()
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(set(pieces))
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Make all pieces known."""
+        return self.encode_all(pa.array([(text or "").encode("utf-8", "replace")], pa.string()))[0].as_py()
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text, of a null none. A piece that the texts repeat is looked up once."""
         if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
-        known, older, split, new, words = self.known, self.older, [], [], set()
-
-        def recall(part: bytes) -> bool:
-            if part in older:
-                known[part] = older[part]
-            return part in known
-
-        for piece in pieces.difference(known):
-            if recall(piece):
-                continue
-            core = piece.rstrip(STOPS)
-            # A word of plain letters passes normaliser and splitter unchanged: its merges are all that is left.
-            if core.isalpha():  # of bytes: ASCII letters
-                low = core.lower()
-            else:
-                word = core.decode().lower()
-                if not word.isalpha() or max(word) >= "\u0250":
-                    new.append(piece)
-                    continue
-                low = word.encode()
-            tail = piece[len(core):]
-            if low not in known and not recall(low):
-                words.add(low)
-            if tail and tail not in known and not recall(tail):
-                new.append(tail)
-            if low != piece:
-                split.append((piece, low, tail))
-        tokenize = self.model.tokenize
-        for low in words:
-            signs = low.decode() if low.isascii() else low.decode("latin-1").translate(BYTE_SIGNS)
-            ids = [t.id for t in tokenize(signs)]
-            known[low] = pack_ids(f"<{len(ids)}I", *ids)
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                known[p] = pack_ids(f"<{len(e.ids)}I", *e.ids)
-        for piece, low, tail in split:
-            known[piece] = known[low] + (known[tail] if tail else b"")
+            self.known.older = {}
+            self.known = Pieces(self.tokenizer, self.known)
+        texts = pc.fill_null(texts, "")
+        # Names of special tokens are case-sensitive.
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        pieces = split.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), " ")
+        names = distinct[0].as_buffer().to_pybytes().split(b" ")
+        _, ends, ids = pa.array(map(self.known.__getitem__, names), pa.large_binary()).take(pieces.indices).buffers()
+        # The ids of a text's pieces lie together, so its ends are those of its first and last piece.
+        ends = np.frombuffer(ends, np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), ids])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -135,6 +133,16 @@ def forget_encoders() -> None:
     give_back()
 
 
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut incoming batches of (doc_id, queue, text) where another BATCH_BYTES of text are full."""
+    for batch in batches:
+        full = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Stored token table: part (task), queue (source), before (tokens of that queue earlier in the part), doc_id, n, ids."""
     schema = pa.schema([("part", pa.int32()), ("queue", pa.string()), ("before", pa.int64()), ("doc_id", pa.int64()),
@@ -142,16 +150,15 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), {}
-        tail = np.asarray([end_id], "<u4").tobytes()
-        for batch in small_batches(batches):
-            cols: list[list] = [[] for _ in schema]
-            for doc, queue, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = encoder.encode(text) + tail
-                n, before = len(ids) // 4, seen.get(queue, 0)
-                seen[queue] = before + n
-                for c, v in zip(cols, (part, queue, before, doc, n, ids)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+        tail = pa.scalar(np.asarray([end_id], "<u4").tobytes(), pa.large_binary())
+        for batch in text_batches(batches):
+            ids = pc.binary_join_element_wise(encoder.encode_all(batch.column(2)), tail, pa.scalar(b"", pa.large_binary()))
+            n, before = pc.divide(pc.binary_length(ids), 4), []
+            for queue, count in zip(batch.column(1).to_pylist(), n.to_pylist()):
+                before.append(seen.get(queue, 0))
+                seen[queue] = before[-1] + count
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), batch.column(1), pa.array(before, pa.int64()),
+                                              batch.column(0), n, ids.cast(pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,6 +142,31 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_encoded_together_look_up_a_piece_once(monkeypatch):
+    """Each text was looked up by itself, and most hold an unknown piece, so most pieces were looked up twice."""
+    asked = []
+
+    class Counted(packing.Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    encoder.known = Counted(encoder.tokenizer, {})
+    texts = ["  the plum\t the\n", None, "", " \x0b ", "The plum, THE\x0cplum", "the é plum <|endoftext|>", "日本 the", "\x85a\x1cb\xa0c"]
+    found = encoder.encode_all(pa.array([*texts, "cut off"]).slice(0, len(texts)))
+    assert asked.count(b"the") == 1
+    for text, ids in zip(texts, found.to_pylist()):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert encoder.encode_all(pa.array([], pa.string())).to_pylist() == []
+    assert encoder.encode_all(pa.array([None, " "], pa.string())).to_pylist() == [b"", b""]
+    # Texts are cut by bytes too; a text is never cut.
+    monkeypatch.setattr(packing, "BATCH_BYTES", 10)
+    rows = pa.RecordBatch.from_pydict({"doc_id": range(5), "queue": ["q"] * 5, "text": ["a" * 6, None, "b" * 6, "c" * 40, "d"]})
+    cut = [b.column(0).to_pylist() for b in packing.text_batches([rows, rows.slice(0, 0)])]
+    assert [x for b in cut for x in b] == list(range(5)) and cut == [[0, 1], [2], [3, 4]]
+
+
 def test_substring(spark, empty, odd):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
